@@ -43,7 +43,7 @@ def args_hash(args: Column) -> Column:
 def valid_npi(npi: Column) -> Column:
     """Ten digits starting with 1 or 2 whose check digit holds under the 80840 prefix."""
     shaped = F.coalesce(npi.rlike(r"^[12][0-9]{9}$"), F.lit(False))
-    return F.when(shaped, F.luhn_check(F.concat(F.lit("80840"), npi))).otherwise(False)
+    return F.when(shaped, F.call_function("luhn_check", F.concat(F.lit("80840"), npi))).otherwise(False)
 
 
 def age_on(birth: Column, day: Column) -> Column:

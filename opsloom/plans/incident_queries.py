@@ -239,34 +239,26 @@ def _reports(spark, sf_dir):
     traces, rows = stored_traces(spark, sf_dir), spans(spark, sf_dir)
     incidents = period_incidents(traces)
     base = rca.baseline_ranges(incidents, 3 * PERIOD_NS, 0)
-    slices = rca.incident_slices(traces, incidents, base, PERIOD_NS)
+    slices = cut_lineage(rca.incident_slices(traces, incidents, base, PERIOD_NS))
     rules = incidents.select("incident_id", rca.lead_outlier(F.col("detectors")).alias("rule"))
     anomalies = cut_lineage(dt.detect_anomalies(traces, rows, PERIOD_NS))
     members = anomalies.join(
         incidents.select("project_id", F.col("start_ns").alias("window_start_ns"), "incident_id"),
         ["project_id", "window_start_ns"],
     ).select("project_id", "anomaly_id", "incident_id")
-    overview = rca.incident_overview(incidents, anomalies, members)
+    overview = cut_lineage(rca.incident_overview(incidents, anomalies, members))
     changes = rca.recent_changes(incidents, release_changes(rows), 6 * PERIOD_NS, PERIOD_NS)
     projects = incidents.select("project_id", F.lit("org").alias("org")).distinct()
     reports = rca.root_cause(
         incidents,
-        rca.attribute_contrast(slices, rows, rules),
-        rca.component_breakdown(slices, rows),
+        cut_lineage(rca.attribute_contrast(slices, rows, rules)),
+        cut_lineage(rca.component_breakdown(slices, rows)),
         rca.sample_traces(slices, rules),
         changes,
         overview,
         rca.other_projects_affected(incidents, projects, PERIOD_NS),
     )
-    everything = rules.withColumn("rule", F.lit("all"))
-    return (
-        reports,
-        traces,
-        changes,
-        overview,
-        rca.attribute_contrast(slices, rows, everything, top=None),
-        rca.component_breakdown(slices, rows, top=None),
-    )
+    return reports, traces, changes, overview, slices, rules
 
 
 @query("root_cause")
@@ -285,4 +277,13 @@ def root_cause(spark, sf_dir):
 
 @query("validate_evidence")
 def validate_evidence(spark, sf_dir):
-    return rca.validate_evidence(*_reports(spark, sf_dir))
+    reports, traces, changes, overview, slices, rules = _reports(spark, sf_dir)
+    rows, everything = spans(spark, sf_dir), rules.withColumn("rule", F.lit("all"))
+    return rca.validate_evidence(
+        cut_lineage(reports),
+        traces,
+        changes,
+        overview,
+        cut_lineage(rca.attribute_contrast(slices, rows, everything, top=None)),
+        cut_lineage(rca.component_breakdown(slices, rows, top=None)),
+    )

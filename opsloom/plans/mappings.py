@@ -117,3 +117,126 @@ traces AS (
   GROUP BY s.project_id, s.trace_id
 )"""
 )
+
+
+class Star:
+    """The claims star schema over the driver's tables; each table is built when first asked for.
+
+    claims are orders and claim lines are order lines. line_claims is the same claims model at line
+    grain, for questions that need a provider or a diagnosis, which an order alone does not have.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self._read = lambda name: read_table(spark, sf_dir, name)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self, name)()
+
+    def claims(self) -> DataFrame:
+        c = F.col
+        service = c("o_orderdate").cast("date")
+        status = F.when(c("o_orderstatus") == "F", "paid").when(c("o_orderstatus") == "P", "denied").otherwise("pending")
+        reason = F.concat(F.lit("reason_"), (c("o_custkey") % 6).cast("string"))
+        return self._read("orders").select(
+            c("o_orderkey").alias("claim_id"),
+            c("o_custkey").alias("member_id"),
+            c("o_orderpriority").alias("claim_type"),
+            service.alias("service_date"),
+            F.date_add(service, (c("o_orderkey") % 120).cast("int")).alias("submitted_date"),
+            status.alias("status"),
+            F.when(c("o_orderstatus") == "P", reason).alias("denial_reason"),
+            c("o_totalprice").alias("billed_amount"),
+            F.when(c("o_orderstatus") == "F", c("o_totalprice") * 0.8).otherwise(0.0).alias("paid_amount"),
+        )
+
+    def line_claims(self) -> DataFrame:
+        c = F.col
+        status = F.when(c("l_returnflag") == "A", "paid").when(c("l_returnflag") == "R", "denied").otherwise("pending")
+        net = c("l_extendedprice") * (1 - c("l_discount"))
+        return self._read("lineitem").select(
+            c("l_orderkey").alias("claim_id"),
+            c("l_suppkey").alias("provider_id"),
+            c("l_partkey").alias("primary_diagnosis_code"),
+            c("l_linestatus").alias("claim_type"),
+            c("l_shipdate").cast("date").alias("service_date"),
+            status.alias("status"),
+            c("l_extendedprice").alias("billed_amount"),
+            F.when(c("l_returnflag") == "A", net).otherwise(0.0).alias("paid_amount"),
+        )
+
+    def claim_lines(self) -> DataFrame:
+        c = F.col
+        return self._read("lineitem").select(
+            c("l_orderkey").alias("claim_id"),
+            c("l_partkey").alias("procedure_code"),
+            c("l_quantity").cast("bigint").alias("units"),
+            c("l_extendedprice").alias("line_billed"),
+        )
+
+    def members(self) -> DataFrame:
+        c = F.col
+        return self._read("customer").join(self._read("nation"), c("c_nationkey") == c("n_nationkey")).select(
+            c("c_custkey").alias("member_id"),
+            c("c_name").alias("member_name"),
+            c("n_name").alias("state"),
+            (c("c_custkey") % 200).alias("plan_id"),
+            c("c_mktsegment").alias("segment"),
+            c("c_acctbal").alias("balance"),
+        )
+
+    def plans(self) -> DataFrame:
+        c = F.col
+        return self._read("part").select(
+            c("p_partkey").alias("plan_id"),
+            c("p_brand").alias("plan_type"),
+            c("p_type").alias("metal_tier"),
+            c("p_retailprice").alias("monthly_premium"),
+        )
+
+    def providers(self) -> DataFrame:
+        c = F.col
+        return self._read("supplier").join(self._read("nation"), c("s_nationkey") == c("n_nationkey")).select(
+            c("s_suppkey").alias("provider_id"),
+            c("s_name").alias("provider_name"),
+            F.concat(F.lit("NPI"), c("s_suppkey").cast("string")).alias("npi"),
+            F.concat(F.lit("spec_"), (c("s_suppkey") % 7).cast("string")).alias("specialty"),
+            c("n_name").alias("state"),
+            F.when(c("s_acctbal") < 2000, "out_of_network").otherwise("in_network").alias("network_status"),
+        )
+
+    def _codes(self, category: str) -> DataFrame:
+        return self._read("part").select(
+            F.col("p_partkey").alias("code"), F.col("p_name").alias("description"), F.col(category).alias("category")
+        )
+
+    def diagnoses(self) -> DataFrame:
+        return self._codes("p_type")
+
+    def procedures(self) -> DataFrame:
+        return self._codes("p_brand")
+
+
+star = Star
+
+
+STAR_SQL = """
+claims AS (SELECT o_orderkey AS claim_id, o_custkey AS member_id, o_orderpriority AS claim_type,
+  CAST(o_orderdate AS DATE) AS service_date, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 120 AS INTEGER) AS submitted_date,
+  CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'P' THEN 'denied' ELSE 'pending' END AS status,
+  CASE WHEN o_orderstatus = 'P' THEN 'reason_' || (o_custkey % 6) END AS denial_reason, o_totalprice AS billed_amount,
+  CASE WHEN o_orderstatus = 'F' THEN o_totalprice * CAST(0.8 AS DOUBLE) ELSE 0 END AS paid_amount FROM orders),
+line_claims AS (SELECT l_orderkey AS claim_id, l_suppkey AS provider_id, l_partkey AS primary_diagnosis_code,
+  l_linestatus AS claim_type, CAST(l_shipdate AS DATE) AS service_date,
+  CASE l_returnflag WHEN 'A' THEN 'paid' WHEN 'R' THEN 'denied' ELSE 'pending' END AS status, l_extendedprice AS billed_amount,
+  CASE WHEN l_returnflag = 'A' THEN l_extendedprice * (1 - l_discount) ELSE 0 END AS paid_amount FROM lineitem),
+claim_lines AS (SELECT l_orderkey AS claim_id, l_partkey AS procedure_code, CAST(l_quantity AS BIGINT) AS units,
+  l_extendedprice AS line_billed FROM lineitem),
+members AS (SELECT c_custkey AS member_id, c_name AS member_name, n_name AS state, c_custkey % 200 AS plan_id,
+  c_mktsegment AS segment, c_acctbal AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey),
+plans AS (SELECT p_partkey AS plan_id, p_brand AS plan_type, p_type AS metal_tier, p_retailprice AS monthly_premium FROM part),
+providers AS (SELECT s_suppkey AS provider_id, s_name AS provider_name, 'NPI' || s_suppkey AS npi,
+  'spec_' || (s_suppkey % 7) AS specialty, n_name AS state,
+  CASE WHEN s_acctbal < 2000 THEN 'out_of_network' ELSE 'in_network' END AS network_status
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+diagnoses AS (SELECT p_partkey AS code, p_name AS description, p_type AS category FROM part),
+procedures AS (SELECT p_partkey AS code, p_name AS description, p_brand AS category FROM part)"""
