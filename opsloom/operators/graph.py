@@ -24,14 +24,24 @@ def _longest(text: str, seq: str) -> Column:
 
 def resolve_entities(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, provenance) from mentions (name, type, description, chunk_id, seq)."""
-    keyed = mentions.withColumn("key", normalize_entity_name(F.col("name"))).filter("key <> ''")
+    # Spellings are merged on the map side first; names are normalised once per spelling.
+    spelled = mentions.groupBy("name", "type").agg(
+        _longest("description", "seq").alias("description"), F.min("seq").alias("seq")
+    )
+    keyed = spelled.withColumn("key", normalize_entity_name(F.col("name"))).filter("key <> ''")
     nodes = keyed.groupBy("key").agg(
         F.min_by(F.trim("name"), "seq").alias("name"),
         F.min_by(F.upper("type"), "seq").alias("type"),
         _longest("description", "seq").alias("description"),
         F.min("seq").alias("seq"),
     )
-    provenance = keyed.groupBy("key", "chunk_id").agg(F.min("seq").alias("pos"))
+    seen = mentions.groupBy("name", "chunk_id").agg(F.min("seq").alias("pos"))
+    provenance = (
+        seen.withColumn("key", normalize_entity_name(F.col("name")))
+        .filter("key <> ''")
+        .groupBy("key", "chunk_id")
+        .agg(F.min("pos").alias("pos"))
+    )
     return nodes, provenance
 
 
@@ -40,24 +50,32 @@ def resolve_relations(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Weight counts the mentions; self-loops and empty keys are dropped after normalising.
     """
-    keyed = (
-        mentions.withColumns(
-            {
-                "src": normalize_entity_name(F.col("source")),
-                "tgt": normalize_entity_name(F.col("target")),
-                "type": F.replace(F.upper("type"), F.lit(" "), F.lit("_")),
-            }
-        )
-        .filter("src <> '' AND tgt <> '' AND src <> tgt")
+    spelling = ["source", "target", "type"]
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        names = {
+            "src": normalize_entity_name(F.col("source")),
+            "tgt": normalize_entity_name(F.col("target")),
+            "type": F.replace(F.upper("type"), F.lit(" "), F.lit("_")),
+        }
+        return rows.withColumns(names).filter("src <> '' AND tgt <> '' AND src <> tgt")
+
+    spelled = mentions.groupBy(*spelling).agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("description", "seq").alias("description"), F.min("seq").alias("seq")
     )
-    edges = keyed.groupBy(*EDGE_KEY).agg(
-        F.count(F.lit(1)).cast("double").alias("weight"),
-        F.min_by("description", "seq").alias("description"),
-        F.min_by(F.trim("source"), "seq").alias("source"),
-        F.min_by(F.trim("target"), "seq").alias("target"),
-        F.min("seq").alias("seq"),
+    edges = (
+        keyed(spelled)
+        .groupBy(*EDGE_KEY)
+        .agg(
+            F.sum("n").cast("double").alias("weight"),
+            F.min_by("description", "seq").alias("description"),
+            F.min_by(F.trim("source"), "seq").alias("source"),
+            F.min_by(F.trim("target"), "seq").alias("target"),
+            F.min("seq").alias("seq"),
+        )
     )
-    provenance = keyed.groupBy(*EDGE_KEY, "chunk_id").agg(F.min("seq").alias("pos"))
+    cited = mentions.groupBy(*spelling, "chunk_id").agg(F.min("seq").alias("pos"))
+    provenance = keyed(cited).groupBy(*EDGE_KEY, "chunk_id").agg(F.min("pos").alias("pos"))
     return edges, provenance
 
 

@@ -163,13 +163,18 @@ def save_communities(spark, sf_dir):
 
 @query("shortest_paths")
 def shortest_paths(spark, sf_dir):
-    """How each nation reaches each part type."""
-    edges = _strong(spark, sf_dir)
-    pairs = (
-        edges.filter("type = 'SELLS'").select(F.col("src").alias("start"), F.lit(1).alias("k")).distinct()
-        .join(edges.filter("type = 'NAMED'").select(F.col("src").alias("goal"), F.lit(1).alias("k")).distinct(), "k")
+    """How the nations reach the part types their suppliers deliver, along the strong links only."""
+    read = lambda name: read_table(spark, sf_dir, name)
+    delivered = (
+        read("lineitem")
+        .join(read("part"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .select(F.lower("n_name").alias("start"), F.lower("p_type").alias("goal"))
+        .distinct()
     )
-    return gr.shortest_paths(edges, pairs.drop("k")).select("start", "goal", F.array_join("path", ">").alias("path"))
+    paths = gr.shortest_paths(_strong(spark, sf_dir), delivered)
+    return paths.select("start", "goal", F.array_join("path", ">").alias("path"))
 
 
 @query(
@@ -189,7 +194,7 @@ def cooccurrence_edges(spark, sf_dir):
     q AS (SELECT p_partkey AS query_id, string_split(trim(lower('the ' || p_name || ' of ' || p_type)), ' ') AS w FROM part),
     g AS (SELECT query_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS key FROM (
       SELECT query_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM q, (VALUES (1), (2), (3), (4)) t(n) WHERE len(w) >= n)),
-    f AS (SELECT query_id, key, min((4 - n) * 1000000000 + i) AS pos FROM g JOIN k USING (key) WHERE length(key) >= 3 GROUP BY ALL)
+    f AS (SELECT query_id, key, min((4 - n) * CAST(1000000000 AS BIGINT) + i) AS pos FROM g JOIN k USING (key) WHERE length(key) >= 3 GROUP BY ALL)
     SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY pos, key) AS rank FROM f
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos, key) <= 6""",
 )
@@ -220,9 +225,9 @@ def explore_entity(spark, sf_dir):
     + MENTIONS_SQL
     + """, f AS (SELECT src, tgt, type, weight, row_number() OVER (PARTITION BY type ORDER BY weight DESC, src, tgt) AS r FROM edges
       QUALIFY row_number() OVER (PARTITION BY type ORDER BY weight DESC, src, tgt) <= 5),
-    c AS (SELECT f.type AS query_id, chunk_id, min(r * 1000000000000 + p) AS at FROM f JOIN (
+    c AS (SELECT f.type AS query_id, chunk_id, min(r * 1000000000000000 + p) AS place FROM f JOIN (
       SELECT src, tgt, type, chunk_id, min(seq) AS p FROM rel GROUP BY ALL) USING (src, tgt, type) GROUP BY ALL)
-    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY at, chunk_id) AS rank FROM c""",
+    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY place, chunk_id) AS rank FROM c""",
 )
 def provenance_join(spark, sf_dir):
     """Orders behind the five heaviest links of each kind."""
