@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +54,14 @@ def apply_content_policy(spans: DataFrame, policies: DataFrame) -> DataFrame:
     return found.select(*spans.columns, *(["pii_found"] if "pii_found" not in spans.columns else []))
 
 
-@F.pandas_udf(f"array<{pii.HITS}>")
-def _scan_texts(arrays):
-    return arrays.map(lambda a: [pii.find_hits(t) if t is not None else [] for t in a] if a is not None else [])
+def _scan_texts(texts: str) -> Column:
+    """Hits of every text of an array column."""
+
+    @F.pandas_udf(f"array<{pii.HITS}>")
+    def scan(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: [pii.find_hits(t) if t is not None else [] for t in a] if a is not None else [])
+
+    return scan(texts)
 
 
 def _check(condition: Column, name: str, severity: Column | str, message: Column) -> Column:

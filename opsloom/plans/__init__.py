@@ -21,7 +21,5 @@ MODULES = (
 
 
 def load_all() -> None:
-    import importlib.util
     for module in MODULES:
-        if importlib.util.find_spec(f"opsloom.plans.{module}") is None: continue
         importlib.import_module(f"opsloom.plans.{module}")

@@ -37,16 +37,6 @@ def _plain(value: dict):
     return value.get("bytesValue")
 
 
-@F.pandas_udf("string")
-def _nested(arrays: pd.Series, lists: pd.Series) -> pd.Series:
-    def one(array, pairs):
-        if array is not None:
-            return json.dumps(_plain({"arrayValue": json.loads(array)}))
-        return json.dumps(_plain({"kvlistValue": json.loads(pairs)})) if pairs is not None else None
-
-    return pd.Series([one(a, p) for a, p in zip(arrays, lists, strict=True)])
-
-
 def scalar_value(v: Column) -> Column:
     """Text of a scalar union value, null for nested ones."""
     return F.coalesce(
@@ -56,11 +46,10 @@ def scalar_value(v: Column) -> Column:
 
 def attribute_map(items: Column) -> Column:
     """Key/value list to map; of duplicate keys the last one counts. Nested values stay as raw JSON."""
+    # No lambda is nested in another one here: a Python UDF over such an expression cannot be planned.
     items = F.coalesce(items, F.array().cast(_ATTRS))
-    last = F.filter(
-        items,
-        lambda x, i: ~F.exists(F.slice(items, i + 2, F.greatest(F.size(items), F.lit(1))), lambda y: y["key"] == x["key"]),
-    )
+    backwards = F.reverse(items["key"])
+    last = F.filter(items, lambda x, i: F.array_position(backwards, x["key"]) == F.size(items) - i)
     raw = lambda v: F.coalesce(scalar_value(v), v["arrayValue"], v["kvlistValue"])
     return F.map_from_entries(F.transform(last, lambda x: F.struct(x["key"].alias("key"), raw(x["value"]).alias("value"))))
 
@@ -107,12 +96,20 @@ def flatten_payloads(payloads: DataFrame, column: str = "payload") -> DataFrame:
 
 def decode_nested(values: Column) -> Column:
     """Raw nested union text (an arrayValue or kvlistValue body) as plain JSON text."""
-    is_list = F.get_json_object(values, "$.values[0].key").isNull()
-    return _nested(F.when(is_list, values), F.when(~is_list, values))
 
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            if text is None:
+                return None
+            body = json.loads(text)
+            entries = body.get("values", [])
+            kind = "kvlistValue" if entries and "key" in entries[0] else "arrayValue"
+            return json.dumps(_plain({kind: body}))
+
+        return texts.map(one)
 
-def _union(value: Column, kind: str) -> Column:
-    return F.struct(value.cast("string").alias(kind) if kind != "doubleValue" else value.alias(kind))
+    return plain(values)
 
 
 def encode_payloads(spans: DataFrame, attributes: dict[str, str], service: str = "service", batch: int = 512) -> DataFrame:
