@@ -24,11 +24,12 @@ def _longest(text: str, seq: str) -> Column:
 
 def resolve_entities(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, provenance) from mentions (name, type, description, chunk_id, seq)."""
-    # Spellings are merged on the map side first; names are normalised once per spelling.
-    spelled = mentions.groupBy("name", "type").agg(
-        _longest("description", "seq").alias("description"), F.min("seq").alias("seq")
-    )
-    keyed = spelled.withColumn("key", normalize_entity_name(F.col("name"))).filter("key <> ''")
+    # Spellings are merged on the map side first (by hash: the buffer holds one number); names are
+    # normalised once per spelling.
+    spelled = mentions.groupBy("name", "type", "description").agg(F.min("seq").alias("seq"))
+    # The condition names the aggregate, so that the normalising is not pushed below it to every row.
+    named = F.when(F.col("seq").isNotNull(), F.col("key") != "")
+    keyed = spelled.withColumn("key", normalize_entity_name(F.col("name"))).filter(named)
     nodes = keyed.groupBy("key").agg(
         F.min_by(F.trim("name"), "seq").alias("name"),
         F.min_by(F.upper("type"), "seq").alias("type"),
@@ -38,7 +39,7 @@ def resolve_entities(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     seen = mentions.groupBy("name", "chunk_id").agg(F.min("seq").alias("pos"))
     provenance = (
         seen.withColumn("key", normalize_entity_name(F.col("name")))
-        .filter("key <> ''")
+        .filter(F.when(F.col("pos").isNotNull(), F.col("key") != ""))
         .groupBy("key", "chunk_id")
         .agg(F.min("pos").alias("pos"))
     )
@@ -52,19 +53,21 @@ def resolve_relations(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spelling = ["source", "target", "type"]
 
-    def keyed(rows: DataFrame) -> DataFrame:
+    def keyed(rows: DataFrame, aggregate: str) -> DataFrame:
         names = {
             "src": normalize_entity_name(F.col("source")),
             "tgt": normalize_entity_name(F.col("target")),
             "type": F.replace(F.upper("type"), F.lit(" "), F.lit("_")),
         }
-        return rows.withColumns(names).filter("src <> '' AND tgt <> '' AND src <> tgt")
+        # The condition names the aggregate, so that the normalising is not pushed below it to every row.
+        proper = (F.col("src") != "") & (F.col("tgt") != "") & (F.col("src") != F.col("tgt"))
+        return rows.withColumns(names).filter(F.when(F.col(aggregate).isNotNull(), proper))
 
-    spelled = mentions.groupBy(*spelling).agg(
-        F.count(F.lit(1)).alias("n"), F.min_by("description", "seq").alias("description"), F.min("seq").alias("seq")
+    spelled = mentions.groupBy(*spelling, "description").agg(
+        F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq")
     )
     edges = (
-        keyed(spelled)
+        keyed(spelled, "seq")
         .groupBy(*EDGE_KEY)
         .agg(
             F.sum("n").cast("double").alias("weight"),
@@ -75,7 +78,7 @@ def resolve_relations(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
     )
     cited = mentions.groupBy(*spelling, "chunk_id").agg(F.min("seq").alias("pos"))
-    provenance = keyed(cited).groupBy(*EDGE_KEY, "chunk_id").agg(F.min("pos").alias("pos"))
+    provenance = keyed(cited, "pos").groupBy(*EDGE_KEY, "chunk_id").agg(F.min("pos").alias("pos"))
     return edges, provenance
 
 

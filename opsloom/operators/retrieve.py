@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.functions.text import CORPUS, NOTE, Dialect, note_sentences, tokenize
+from opsloom.session import cut_lineage
 
 # Queries are scored in blocks of this many vectors; only a block is ever sent to the executors.
 QUERY_BLOCK = 4096
@@ -135,10 +136,11 @@ def bm25_scores(
     Idf is computed over the whole corpus; negative values are replaced by epsilon times the mean
     idf. Repeated query terms count repeatedly. `queries` has query_id and a text.
     """
-    lengths = docs.select(key, F.size(tokenize(F.col(text), dialect)).alias("dl"))
-    corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    size = corpus.select(F.struct("n", "avgdl").alias("s")).scalar()
-    tf = term_counts(docs, key, text, dialect)
+    # The term index is written once: lengths, document frequencies and scores all read it.
+    tf = cut_lineage(term_counts(docs, key, text, dialect))
+    lengths = tf.groupBy(key).agg(F.sum("tf").alias("dl"))
+    total = tf.agg(F.sum("tf").alias("t")).scalar()
+    size = docs.agg(F.count(F.lit(1)).alias("n")).select(F.struct(F.col("n"), (total / F.col("n")).alias("avgdl")).alias("s")).scalar()
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.withColumn("idf", F.ln(size["n"] - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = raw.agg(F.avg("idf").alias("m"))

@@ -151,13 +151,15 @@ def max_tool_repeat(spans: DataFrame) -> DataFrame:
     )
 
 
-def trace_measures(spans: DataFrame) -> DataFrame:
-    """All additive trace measures with the name and service of the earliest parentless span."""
+def trace_measures(spans: DataFrame, with_sets: bool = False) -> DataFrame:
+    """Trace measures with the name and service of the earliest parentless span.
+
+    The numeric measures keep to fixed-width buffers, so that they aggregate by hash on the map
+    side; names and the optional sets of models and tools come from small side aggregates that end
+    up partitioned by the same key.
+    """
     rooted = F.col("parent_span_id").isNull()
-    order = F.when(rooted, F.struct("start_ns", "span_id"))
     measures = spans.groupBy(*TRACE_KEY).agg(
-        F.min_by("name", order).alias("root_name"),
-        F.min_by("service", order).alias("service"),
         F.min("start_ns").alias("start_ns"),
         F.max("end_ns").alias("end_ns"),
         F.count(F.lit(1)).alias("span_count"),
@@ -169,14 +171,26 @@ def trace_measures(spans: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "error").alias("error_count"),
         F.count_if(F.coalesce(F.size("pii_found"), F.lit(0)) > 0).alias("pii_spans"),
         F.max(rooted).alias("has_root"),
-        F.array_sort(F.collect_set("model")).alias("models"),
-        F.array_sort(F.collect_set("tool_name")).alias("tools"),
     )
-    return (
-        measures.join(max_tool_repeat(spans), TRACE_KEY, "left")
+    order = F.struct("start_ns", "span_id")
+    roots = (
+        spans.filter(rooted)
+        .groupBy(*TRACE_KEY)
+        .agg(F.min_by("name", order).alias("root_name"), F.min_by("service", order).alias("service"))
+    )
+    out = (
+        measures.join(roots, TRACE_KEY, "left")
+        .join(max_tool_repeat(spans), TRACE_KEY, "left")
         .withColumn("max_tool_repeat", F.coalesce("max_tool_repeat", F.lit(0).cast("bigint")))
         .withColumn("duration_ms", (F.col("end_ns") - F.col("start_ns")) / 1e6)
     )
+    if with_sets:
+        used = spans.select(*TRACE_KEY, "model", "tool_name").distinct().groupBy(*TRACE_KEY)
+        sets = used.agg(
+            F.array_sort(F.collect_set("model")).alias("models"), F.array_sort(F.collect_set("tool_name")).alias("tools")
+        )
+        out = out.join(sets, TRACE_KEY, "left")
+    return out
 
 
 def orphans(spans: DataFrame) -> DataFrame:
@@ -272,7 +286,7 @@ def trace_rollup(spans: DataFrame) -> DataFrame:
 
     The orphan search runs only over traces without a parentless span.
     """
-    base = trace_measures(spans)
+    base = trace_measures(spans, with_sets=True)
     rootless = spans.join(base.filter(~F.col("has_root")).select(*TRACE_KEY), TRACE_KEY, "left_semi")
     order = F.struct("start_ns", "span_id")
     adopted = (

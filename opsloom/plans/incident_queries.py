@@ -64,7 +64,7 @@ def _slices(spark, sf_dir):
     incidents = period_incidents(traces)
     base = rca.baseline_ranges(incidents, lookback_ns=3 * PERIOD_NS, touch_ns=0)
     rules = incidents.select("incident_id", rca.lead_outlier(F.col("detectors")).alias("rule"))
-    return incidents, rca.incident_slices(traces, incidents, base, PERIOD_NS), rules
+    return incidents, cut_lineage(rca.incident_slices(traces, incidents, base, PERIOD_NS)), rules
 
 
 SLICES_SQL = (

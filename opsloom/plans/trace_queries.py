@@ -18,19 +18,13 @@ SPAN_KEY = ["project_id", "span_id"]
 
 
 def unique_spans(spark, sf_dir):
-    return insert_ignore(spans(spark, sf_dir), SPAN_KEY, ARRIVAL)
+    """The span table after ingest, written once as a span store holds it."""
+    return cut_lineage(insert_ignore(spans(spark, sf_dir), SPAN_KEY, ARRIVAL))
 
 
 def order_traces(spark, sf_dir):
-    """Trace measures straight from delivered spans; the earliest step name stands for the root."""
-    rows = spans(spark, sf_dir)
-    first = rows.groupBy(*sp.TRACE_KEY).agg(F.min("name").alias("_first"))
-    return (
-        sp.trace_measures(rows)
-        .join(first, sp.TRACE_KEY)
-        .withColumn("root_name", F.col("_first"))
-        .drop("_first")
-    )
+    """Trace measures straight from delivered spans."""
+    return sp.trace_measures(spans(spark, sf_dir))
 
 
 def stored_traces(spark, sf_dir):

@@ -66,10 +66,10 @@ def test_sections_and_chunks():
 
 
 def test_names_and_pairs():
-    out = corpus.names_and_pairs("After lunch the Atlas Team met INC-2041 owners. Service was slow. We saw Atlas Team again with Beta Corp.")
+    out = corpus.names_and_pairs("After lunch the Orion Team met INC-2041 owners. Service was slow. We saw Orion Team again with Beta Corp.")
     names = {n["name"]: n["mentions"] for n in out["names"]}
-    assert names["Atlas Team"] == 2 and "Service" not in names and "After" not in names and "INC-2041" in names
-    assert {"source": "Atlas Team", "target": "Beta Corp"} in out["pairs"]
+    assert names["Orion Team"] == 2 and "Service" not in names and "After" not in names and "INC-2041" in names
+    assert {"source": "Orion Team", "target": "Beta Corp"} in out["pairs"]
 
 
 def test_scan_corpus(spark, tmp_path):
