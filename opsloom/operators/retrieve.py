@@ -362,12 +362,15 @@ def few_shot_records(train: DataFrame, k: int = 3) -> DataFrame:
     return train.join(gathered, "id", "left").withColumn("shots", F.coalesce("shots", F.lit("[]")))
 
 
-def relevant_sections(findings: DataFrame, claims: DataFrame, sections: DataFrame, k: int = 2, head: int = 500) -> DataFrame:
+def relevant_sections(
+    findings: DataFrame, claims: DataFrame, sections: DataFrame, k: int = 2, head: int | None = 500
+) -> DataFrame:
     """Sections for each (claim, reviewer): those its findings cite, then the k best by BM25.
 
     The search text is the finding messages plus the first `head` characters of the note, as the
-    reviewer prompt defines it.
+    reviewer prompt defines it; without a head the whole note takes part.
     """
+    note = F.coalesce("clinical_note", F.lit(""))
     keys = ["claim_id", "reviewer"]
     cited = findings.groupBy(*keys, F.col("policy_section").alias("section_id")).agg(F.min("seq").alias("pos"))
     asked = (
@@ -378,7 +381,7 @@ def relevant_sections(findings: DataFrame, claims: DataFrame, sections: DataFram
             F.struct(*keys).alias("query_id"),
             F.concat(
                 F.array_join(F.transform("m", lambda x: x["message"]), " "), F.lit(" "),
-                F.left(F.coalesce("clinical_note", F.lit("")), F.lit(head)),
+                note if head is None else F.left(note, F.lit(head)),
             ).alias("text"),
         )
     )

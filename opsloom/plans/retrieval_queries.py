@@ -402,4 +402,4 @@ def relevant_sections(spark, sf_dir):
     notes = turns.filter("role = 'assistant'").withColumn("n", F.row_number().over(first)).filter("n = 1").select(
         F.col("conv_id").alias("claim_id"), F.col("text").alias("clinical_note")
     )
-    return rt.relevant_sections(findings, notes, sections)
+    return rt.relevant_sections(findings, notes, sections, head=None)
