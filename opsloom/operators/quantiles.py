@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 _ACCURACY = 10000  # rank error of the sketch is 1/_ACCURACY of the group
 _MARGIN = 0.0005  # bracket half-width in ranks/n: several times the sketch error
+_SMALL = 20000  # groups up to this many values are ranked whole; beyond it a bracket spans many ranks
 
 
 def exact_quantiles(
@@ -37,15 +38,11 @@ def exact_quantiles(
         for p in (max(0.0, q - _MARGIN), min(1.0, q + _MARGIN))
     ]
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    # "index" of a tiny group may point one rank further than q*(n-1); widening by one value on
-    # each side is done by taking whole brackets of groups that fit the sketch exactly.
     sketch = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", edges, _ACCURACY).alias("_e"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
     )
-    small = F.col("_n") <= F.lit(int(1 / _MARGIN))
+    small = F.col("_n") <= F.lit(_SMALL)
     joined = _join_keys(rows, sketch, keys)
     cell = None
     inside = small

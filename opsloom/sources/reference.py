@@ -82,11 +82,12 @@ def read_labelled_jsonl(spark: SparkSession, path: str, schema: str) -> DataFram
     return spark.read.schema(schema).json(path)
 
 
+# Line numbers are the keys of expected_lines, as text: JSON maps have no other keys.
 LABELLED_CLAIMS = (
     "scenario string, claim struct<claim_id:string,member_id:string,provider_npi:string,service_date:date,submitted_date:date,"
     "place_of_service:string,diagnosis_codes:array<string>,lines:array<struct<line_no:int,cpt:string,units:bigint,charge:double,"
     "modifiers:array<string>>>,prior_auth_number:string,referral_number:string,clinical_note:string>, "
-    "expected_lines map<int,string>, expected_rules array<string>, needs_judgment boolean"
+    "expected_lines map<string,string>, expected_rules array<string>, needs_judgment boolean"
 )
 QUESTION_EXAMPLES = "id string, template string, difficulty string, question string, sql string, split string"
 
