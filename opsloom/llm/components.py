@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.session import cut_lineage
+from opsloom.session import cut_lineage, ensure_checkpoint_dir
 
 BITMAP_BITS = 1 << 26
 
@@ -68,3 +70,17 @@ def member_bitmap(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.n
 def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     place = np.asarray(keys).astype(np.uint64) & np.uint64(len(bitmap) * 64 - 1)
     return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def shared_folder(df: DataFrame, name: str) -> str:
+    """A new folder's address under the one that the cluster shares (spark.checkpoint.dir)."""
+    session = df.sparkSession
+    ensure_checkpoint_dir(session)
+    return f"{session.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The table written as Parquet in the shared folder and read again."""
+    folder = shared_folder(df, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -247,3 +247,37 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
         F.when(F.col("set_key").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_texts", F.lit(1).cast("bigint")).alias("n_texts"),
     )
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, size: int = 5) -> DataFrame:
+    """The rows and columns of one row of each group, that with the smallest key; rows without a set all stay.
+
+    Rows that repeat key and text count as copies: one stays.
+    """
+    _, classes = jaccard_components(docs, key, text, percent, size)
+    best = classes.groupBy("root").agg(F.min(F.struct(F.col("first_key").isNull(), "first_key", "set_key")).alias("best"))
+    chosen = cut_lineage(best.select(F.col("best.set_key").alias("_set"), F.col("best.first_key").alias("_first")))
+    columns = docs.columns
+    keyed = _with_set_key(docs, text, size)
+    kept = keyed.join(chosen, (keyed["_set"] == chosen["_set"]) & keyed[key].eqNullSafe(chosen["_first"]))
+    one = kept.select(keyed["_set"], *(keyed[c] for c in columns)).withColumn(
+        "_n", F.row_number().over(Window.partitionBy("_set").orderBy(F.lit(0)))
+    ).filter("_n = 1")
+    return one.select(*columns).unionByName(keyed.filter("_set is null").select(*columns))
+
+
+def _with_set_key(docs: DataFrame, text: str, size: int) -> DataFrame:
+    """All columns and _set, the key of the row's shingle set (null without one)."""
+    columns = docs.columns
+    place = columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            keys = [set_key(x) if len(x) else None for _, found in _sets(batch.column(place), hasher, size) for x in found]
+            value = np.array([k or 0 for k in keys], np.uint64).view(np.int64)
+            own = pa.array(value, pa.int64(), mask=np.array([k is None for k in keys], bool))
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*columns, "_set"])
+
+    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    return docs.mapInArrow(run, f"{fields}, _set bigint")

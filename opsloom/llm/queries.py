@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsloom.llm import decontaminate, jaccard, licenses, packing, quality, secret_spans, tokencount, warc
+from opsloom.llm import decontaminate, jaccard, licenses, lines, packing, paragraphs, quality, secret_spans, tokencount, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,14 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_sequences(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -63,8 +71,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = (
-        op1_license_scan, op2_token_counts, op3_ngram_jaccard, op6_best_fit_packing,
-        op7_decontamination, op8_warc_normaliser, op9_secret_scan, op10_quality_rules,
+        op1_license_scan, op2_token_counts, op3_ngram_jaccard, op4_paragraph_minhash, op5_line_dedup,
+        op6_best_fit_packing, op7_decontamination, op8_warc_normaliser, op9_secret_scan, op10_quality_rules,
     )
     return {f.__name__: f for f in own}
 

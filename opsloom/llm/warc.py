@@ -16,24 +16,16 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.session import cut_lineage, ensure_checkpoint_dir
+from opsloom.llm.components import shared_folder
+from opsloom.session import cut_lineage
 
 _CHUNK = 1 << 20
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def shared_folder(df: DataFrame, name: str) -> str:
-    """A new folder's address under the one that the cluster shares (spark.checkpoint.dir)."""
-    session = df.sparkSession
-    ensure_checkpoint_dir(session)
-    root = re.sub(r"^file:/(?!/)", "file:///", session.sparkContext.getCheckpointDir())
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def _open_folder(address: str) -> tuple[fs.FileSystem, str]:
-    if "://" not in address:
-        address = "file://" + address
-    return fs.FileSystem.from_uri(address)
+    """The store of an address and the place in it; file:/x and /x are the same local or mounted folder."""
+    return fs.FileSystem.from_uri(re.sub(r"^(file:)?/+(?=[^/])", "file:///", address))
 
 
 def payload_digest(payload: bytes) -> str:
