@@ -21,33 +21,44 @@ _FAN = 16
 
 
 class CountTree:
-    """An R-tree over count vectors: a node keeps the largest count of each group below it, and the sizes' range."""
+    """An R-tree over count vectors, level by level: a node keeps the largest count of each group below it, and the
+    range of the sizes. Points are ordered by halving on the group that varies most, then taken `fan` at a time."""
 
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray, fan: int = _FAN) -> None:
-        self.order = np.arange(len(sizes))
-        self.low: list[int] = []
-        self.high: list[int] = []
-        self.children: list[tuple[int, int] | None] = []
-        self.most: list[np.ndarray] = []
-        self.range: list[tuple[int, int]] = []
-        self._build(vectors, sizes, 0, len(sizes), fan)
-
-    def _build(self, vectors: np.ndarray, sizes: np.ndarray, low: int, high: int, fan: int) -> int:
-        own = self.order[low:high]
-        part = vectors[own]
-        node, most = len(self.low), part.max(0)
-        self.low.append(low)
-        self.high.append(high)
-        self.most.append(most)
-        self.range.append((int(sizes[own].min()), int(sizes[own].max())))
-        self.children.append(None)
-        if high - low > fan:
-            by = part[:, int(np.argmax(most - part.min(0)))]
-            self.order[low:high] = own[np.argsort(by, kind="stable")]
-            middle = (low + high) // 2
-            left = self._build(vectors, sizes, low, middle, fan)
-            self.children[node] = (left, self._build(vectors, sizes, middle, high, fan))
-        return node
+        self.fan = fan
+        order = np.arange(len(sizes))
+        todo = [(0, len(sizes))]
+        while todo:
+            low, high = todo.pop()
+            if high - low <= fan:
+                continue
+            part = vectors[order[low:high]]
+            by = part[:, int(np.argmax(part.max(0) - part.min(0)))]
+            order[low:high] = order[low:high][np.argsort(by, kind="stable")]
+            half = low + -(-(high - low) // (2 * fan)) * fan
+            todo += [(low, half), (half, high)]
+        self.order = order
+        self.levels = [(vectors[order], sizes[order], sizes[order])]
+        while len(self.levels[-1][0]) > fan:
+            most, least, largest = self.levels[-1]
+            at = np.arange(0, len(most), fan)
+            self.levels.append((np.maximum.reduceat(most, at), np.minimum.reduceat(least, at), np.maximum.reduceat(largest, at)))
+
+    def near(self, point: np.ndarray, size: int, after: int, percent: int) -> np.ndarray:
+        """Places of the points past `after` whose bound allows a link with the point."""
+        top = len(self.levels) - 1
+        nodes = np.arange(len(self.levels[top][0]))
+        for level in range(top, -1, -1):
+            most, least, largest = self.levels[level]
+            nodes = nodes[(nodes + 1) * self.fan**level > after]
+            low = least[nodes]
+            nodes = nodes[(100 * largest[nodes] >= percent * size) & (100 * size >= percent * low)]
+            bound = np.minimum(most[nodes], point).sum(1, dtype=np.int64)
+            nodes = nodes[bound * (100 + percent) >= percent * (size + least[nodes])]
+            if level:
+                nodes = (nodes[:, None] * self.fan + np.arange(self.fan)).ravel()
+                nodes = nodes[nodes < len(self.levels[level - 1][0])]
+        return nodes[nodes >= after]
 
 
 def link_sets(percent: int, groups: int = GROUPS):
@@ -63,39 +74,23 @@ def link_sets(percent: int, groups: int = GROUPS):
     def match(payloads: list[bytes], label: np.ndarray) -> list[tuple[int, int]]:
         sets = [np.frombuffer(p, "<u8") for p in payloads]
         sizes = np.array([len(x) for x in sets], np.int64)
-        vectors = np.stack([np.bincount((x >> shift).astype(np.int64), minlength=groups) for x in sets])
+        kind = np.uint16 if sizes.max() < 1 << 16 else np.uint32
+        vectors = np.stack([np.bincount((x >> shift).astype(np.int64), minlength=groups).astype(kind) for x in sets])
         tree = CountTree(vectors, sizes)
-        order = tree.order
-        vectors, sizes, label = vectors[order], sizes[order], label[order].copy()
-        links = []
+        order, links = tree.order, []
+        label = label[order].copy()
         for p in range(len(sets) - 1):
-            own, n = vectors[p], int(sizes[p])
-            stack = [0]
-            while stack:
-                node = stack.pop()
-                low, high = max(tree.low[node], p + 1), tree.high[node]
-                if low >= high:
+            if (label[p + 1 :] == label[p]).all():
+                continue
+            able = tree.near(tree.levels[0][0][p], int(tree.levels[0][1][p]), p + 1, percent)
+            for q in able[label[able] != label[p]].tolist():
+                if label[q] == label[p]:
                     continue
-                least, largest = tree.range[node]
-                if largest * 100 < percent * n or n * 100 < percent * least:
-                    continue
-                if (label[low:high] == label[p]).all():
-                    continue
-                if int(np.minimum(own, tree.most[node]).sum()) * (100 + percent) < percent * (n + least):
-                    continue
-                if tree.children[node]:
-                    stack.extend(tree.children[node])
-                    continue
-                bound = np.minimum(vectors[low:high], own).sum(1)
-                able = (bound * (100 + percent) >= percent * (n + sizes[low:high])) & (label[low:high] != label[p])
-                for q in (low + np.flatnonzero(able)).tolist():
-                    if label[q] == label[p]:
-                        continue
-                    a, b = sets[order[p]], sets[order[q]]
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    if 100 * both >= percent * (len(a) + len(b) - both):
-                        links.append((int(order[p]), int(order[q])))
-                        label[label == label[q]] = label[p]
+                a, b = sets[order[p]], sets[order[q]]
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    links.append((int(order[p]), int(order[q])))
+                    label[label == label[q]] = label[p]
         return links
 
     return match
@@ -108,33 +103,68 @@ def _sets(batch_column: pa.Array, hasher: Hasher, size: int) -> Iterator[tuple[i
         yield lo, list(shingle_sets(hasher(low, starts, ends), first, size))
 
 
-def _keys(docs: DataFrame, carry: tuple[str, ...], text: str, size: int, common: int) -> DataFrame:
-    """Rows (carried columns, set_key, n) of the texts; and, under set_key null and n < 0, shingles that `common` or
-    more different sets of one slice share, as (shingle, -n) in the columns shingle and n."""
-    kinds = dict(docs.dtypes)
+def _keys(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(key, set_key, n) of every text; set_key is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            keys, sizes, frequent = [], [], []
-            for _, found in _sets(batch.column(batch.num_columns - 1), hasher, size):
-                own = [set_key(x) if len(x) else None for x in found]
-                keys += own
-                sizes += [len(x) for x in found]
-                distinct = {k: x for k, x in zip(own, found, strict=True) if k is not None}
-                if common and len(distinct) >= common:
-                    value, n = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
-                    frequent += [(int(v), -int(c)) for v, c in zip(value[n >= common], n[n >= common], strict=True)]
-            k = len(frequent)
-            arrays = [pa.concat_arrays([batch.column(i), pa.nulls(k, batch.schema.field(i).type)]) for i in range(batch.num_columns - 1)]
-            arrays += [
-                pa.array(np.array([x or 0 for x in keys] + [v for v, _ in frequent], np.uint64).view(np.int64), pa.int64()),
-                pa.array(sizes + [n for _, n in frequent], pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*carry, "set_key", "n"])
-
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "set_key bigint, n bigint"])
-    return docs.select(*carry, text).mapInArrow(run, schema)
+            sets = [(set_key(x), len(x)) for _, found in _sets(batch.column(1), hasher, size) for x in found]
+            keys, n = np.array([k for k, _ in sets], np.uint64), np.array([n for _, n in sets], np.int64)
+            own = pa.array(keys.view(np.int64), pa.int64(), mask=n == 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), own, pa.array(n)], names=[key, "set_key", "n"])
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, set_key bigint, n bigint")
+
+
+def shared_shingles(docs: DataFrame, text: str, size: int, times: tuple[int, ...]) -> list[DataFrame]:
+    """For each of `times` (ascending), the shingles (id) that at least so many different sets have, counted over all
+    texts; equal sets of one slice count once. Shingles go packed, 8 bytes each, to the task of their bucket."""
+    buckets = bucket_count(docs)
+    most = times[-1]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for _, found in _sets(batch.column(0), hasher, size):
+                distinct = {set_key(x): x for x in found if len(x)}
+                if not distinct:
+                    continue
+                value, n = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
+                value = np.repeat(value, np.minimum(n, most))
+                bucket = (value % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                value = value[order]
+                rows = [(int(b), value[edges[b] : edges[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(edges))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b for b, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())],
+                    names=["bucket", "cell"],
+                )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts = None, []
+
+        def done() -> pa.RecordBatch:
+            value, n = np.unique(np.frombuffer(b"".join(parts), np.uint64), return_counts=True)
+            keep = n >= times[0]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(value[keep].view(np.int64)), pa.array(np.minimum(n[keep], most).astype(np.int32))], names=["id", "n"]
+            )
+
+        for batch in batches:
+            for bucket, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != current and parts:
+                    yield done()
+                    parts = []
+                current = bucket
+                parts.append(cell)
+        if parts:
+            yield done()
+
+    dealt = docs.select(text).mapInArrow(spread, "bucket int, cell binary").repartition("bucket").sortWithinPartitions("bucket")
+    counted = cut_lineage(dealt.mapInArrow(count, "id bigint, n int"))
+    return [counted.filter(F.col("n") >= t) for t in times]
 
 
 def jaccard_components(
@@ -143,39 +173,35 @@ def jaccard_components(
     text: str = "text",
     percent: int = 75,
     size: int = 5,
-    common: int = 3,
-    most_common: int = 1 << 18,
+    shared_by: tuple[int, ...] = (3, 30),
 ) -> tuple[DataFrame, DataFrame]:
     """(texts, classes): texts (key, set_key, n) has a row for each row; classes (set_key, n, first_key, root) a row for
     each distinct non-empty shingle set, root being the smallest set_key of its component.
 
     Tiles: two sets with the Jaccard similarity share one of their n - ceil(percent n / 100) + 1 first shingles in any
-    common order. The order is by hash, with shingles that many sets share last; which count as such is found over
-    all texts, and changes the work but never the result, so their list may be cut at `most_common`. Sets that share
-    such a shingle and whose sizes allow a link are tied; each component of these ties is a tile, and in it the
-    R-tree join is exact.
+    common order. The order is by how many sets have a shingle, in steps of `shared_by`, then by hash: what many
+    texts share comes last. Each step is a bitmap of a bounded size; a bit set by chance moves a shingle in the order
+    for all texts alike, so it changes the work but never the result. Sets that share such a first shingle and whose
+    sizes allow a link are tied; each component of these ties is a tile, and in it the R-tree join is exact.
     """
-    rows = cut_lineage(_keys(docs, (key,), text, size, common))
-    texts = rows.filter("n >= 0").withColumn("set_key", F.when(F.col("n") > 0, F.col("set_key")))
-    frequent = rows.filter("n < 0").groupBy("set_key").agg(F.sum(-F.col("n")).alias("times"))
-    top = frequent.orderBy(F.desc("times"), "set_key").limit(most_common).select("set_key").toArrow()
-    last = np.sort(top["set_key"].to_numpy().astype(np.int64).view(np.uint64))
+    texts = cut_lineage(_keys(docs, key, text, size))
+    context = docs.sparkSession.sparkContext
+    steps = [member_bitmap(x, "id") for x in shared_shingles(docs, text, size, shared_by)]
+    ranks = context.broadcast(steps)
     classes = texts.filter("set_key is not null").groupBy("set_key").agg(F.min(key).alias("first_key"), F.first("n").alias("n"))
     buckets = bucket_count(docs)
-    shared_last = docs.sparkSession.sparkContext.broadcast(last)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, late = Hasher(), shared_last.value
+        hasher, late = Hasher(), ranks.value
         for batch in batches:
             for _, found in _sets(batch.column(0), hasher, size):
                 keys, ids, sizes, lengths = [], [], [], []
                 for own in found:
                     n = len(own)
                     if n:
-                        at = np.minimum(np.searchsorted(late, own), len(late) - 1) if len(late) else None
-                        is_late = late[at] == own if len(late) else np.zeros(n, bool)
+                        rank = sum(in_bitmap(bits, own).astype(np.int8) for bits in late)
                         take = n - -(-percent * n // 100) + 1
-                        keys.append(np.concatenate([own[~is_late], own[is_late]])[:take])
+                        keys.append(own[np.argsort(rank, kind="stable")[:take]])
                         ids.append(set_key(own))
                         sizes.append(n)
                         lengths.append(take)
@@ -202,7 +228,7 @@ def jaccard_components(
     def payloads(members: DataFrame) -> DataFrame:
         chosen = members.select("id").join(weights.select("id", "first_key"), "id")
         place = F.col("id").bitwiseXOR(F.xxhash64("first_key"))
-        bitmap = docs.sparkSession.sparkContext.broadcast(member_bitmap(chosen.select(place.alias("place")), "place"))
+        bitmap = context.broadcast(member_bitmap(chosen.select(place.alias("place")), "place"))
 
         def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher, bits = Hasher(), bitmap.value
