@@ -13,7 +13,7 @@ from opsloom.llm.collide import (
     ENTRIES, ENTRY, by_ratio, bucket_count, candidate_links, packed, packed_batch, verified_components,
 )
 from opsloom.llm.components import connected_components, in_bitmap, member_bitmap
-from opsloom.llm.texts import LOWER, SPACED, Hasher, set_key, shingle_sets, slices, words
+from opsloom.llm.texts import LOWER, SPACED, Hasher, set_keys, shingle_sets, slices, words
 from opsloom.session import cut_lineage
 
 GROUPS = 128
@@ -109,8 +109,10 @@ def _keys(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            sets = [(set_key(x), len(x)) for _, found in _sets(batch.column(1), hasher, size) for x in found]
-            keys, n = np.array([k for k, _ in sets], np.uint64), np.array([n for _, n in sets], np.int64)
+            keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            for _, found in _sets(batch.column(1), hasher, size):
+                keys = np.concatenate([keys, set_keys(found)])
+                n = np.concatenate([n, np.array([len(x) for x in found], np.int64)])
             own = pa.array(keys.view(np.int64), pa.int64(), mask=n == 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), own, pa.array(n)], names=[key, "set_key", "n"])
 
@@ -127,7 +129,7 @@ def shared_shingles(docs: DataFrame, text: str, size: int, times: tuple[int, ...
         hasher = Hasher()
         for batch in batches:
             for _, found in _sets(batch.column(0), hasher, size):
-                distinct = {set_key(x): x for x in found if len(x)}
+                distinct = {k: x for k, x in zip(set_keys(found).tolist(), found, strict=True) if len(x)}
                 if not distinct:
                     continue
                 value, n = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
@@ -195,21 +197,19 @@ def jaccard_components(
         hasher, late = Hasher(), ranks.value
         for batch in batches:
             for _, found in _sets(batch.column(0), hasher, size):
-                keys, ids, sizes, lengths = [], [], [], []
-                for own in found:
-                    n = len(own)
-                    if n:
-                        rank = sum(in_bitmap(bits, own).astype(np.int8) for bits in late)
-                        take = n - -(-percent * n // 100) + 1
+                # Copies in a slice are one set.
+                distinct = {k: x for k, x in zip(set_keys(found).tolist(), found, strict=True) if len(x)}
+                if distinct:
+                    flat = np.concatenate(list(distinct.values()))
+                    steps_of = sum(in_bitmap(bits, flat).astype(np.int8) for bits in late)
+                    keys, at = [], 0
+                    sizes = [len(x) for x in distinct.values()]
+                    lengths = [n - -(-percent * n // 100) + 1 for n in sizes]
+                    for own, n, take in zip(distinct.values(), sizes, lengths, strict=True):
+                        rank = steps_of[at : at + n]
                         keys.append(own[np.argsort(rank, kind="stable")[:take]])
-                        ids.append(set_key(own))
-                        sizes.append(n)
-                        lengths.append(take)
-                if keys:
-                    # Copies in a slice are one set.
-                    _, once = np.unique(np.array(ids, np.uint64), return_index=True)
-                    keys, ids = [keys[x] for x in once], [ids[x] for x in once]
-                    sizes, lengths = [sizes[x] for x in once], [lengths[x] for x in once]
+                        at += n
+                    ids = list(distinct)
                     entries = np.empty(int(sum(lengths)), ENTRY)
                     entries["k"] = np.concatenate(keys)
                     entries["i"] = np.repeat(np.array(ids, np.uint64), lengths)
@@ -235,7 +235,7 @@ def jaccard_components(
             for batch in batches:
                 own = batch.column(0).to_numpy().view(np.uint64)
                 for lo, found in _sets(batch.column(1), hasher, size):
-                    keys = np.array([set_key(x) if len(x) else 0 for x in found], np.uint64)
+                    keys = set_keys(found)
                     here = in_bitmap(bits, keys ^ own[lo : lo + len(found)]) & np.array([len(x) > 0 for x in found])
                     at = np.flatnonzero(here)
                     at = at[np.unique(keys[at], return_index=True)[1]]
@@ -300,9 +300,11 @@ def _with_set_key(docs: DataFrame, text: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            keys = [set_key(x) if len(x) else None for _, found in _sets(batch.column(place), hasher, size) for x in found]
-            value = np.array([k or 0 for k in keys], np.uint64).view(np.int64)
-            own = pa.array(value, pa.int64(), mask=np.array([k is None for k in keys], bool))
+            keys, empty = np.zeros(0, np.uint64), np.zeros(0, bool)
+            for _, found in _sets(batch.column(place), hasher, size):
+                keys = np.concatenate([keys, set_keys(found)])
+                empty = np.concatenate([empty, np.array([len(x) == 0 for x in found], bool)])
+            own = pa.array(keys.view(np.int64), pa.int64(), mask=empty)
             yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*columns, "_set"])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.llm.texts import SPACE, Hasher, runs, slices
+from opsloom.llm.texts import SPACE, Hasher, kept_in_worker, runs, slices
 from opsloom.session import cut_lineage
 
 _KEEP = 1_000_000
@@ -39,22 +39,44 @@ class WordEncoder:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
-
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        for at in range(0, len(texts), 4096):
-            encoded = self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
-            for key, one in zip(keys[at : at + 4096], encoded, strict=True):
-                ids = one.ids
-                n = len(self.of)
-                if n == len(self.start):
-                    self.start, self.size = np.resize(self.start, 2 * n), np.resize(self.size, 2 * n)
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.resize(self.ids, 2 * len(self.ids))
-                self.of[key], self.start[n], self.size[n] = n, self.used, len(ids)
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-
-    def _units(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _learn(self, keys: list[int], texts: list[str], plain: list[bool]) -> None:
+        """Encodes new stretches. Plain ones are one pre-token each, so many go as one text and their ids part after
+        each word-ending token; should the numbers differ, they are encoded one by one."""
+        alone = [i for i, p in enumerate(plain) if not p]
+        joined = [i for i, p in enumerate(plain) if p]
+        for at in range(0, len(joined), 512):
+            own = joined[at : at + 512]
+            ids = np.array(self._encode(" ".join([texts[i] for i in own])), np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(own) or last[-1] != len(ids) - 1:
+                alone += own
+            else:
+                self._add([keys[i] for i in own], ids, np.diff(last, prepend=-1))
+        for i in alone:
+            ids = np.array(self._encode(texts[i]), np.uint32)
+            self._add([keys[i]], ids, np.array([len(ids)]))
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _add(self, keys: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, to = len(self.of), len(self.of) + len(keys)
+        while to > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.of.update(zip(keys, range(n, to), strict=True))
+        self.size[n:to] = sizes
+        self.start[n:to] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _units(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the stretches that are encoded on their own, and which of them are plain."""
         chunk_starts, chunk_ends = runs(~SPACE[data], bounds)
         kind = _KIND[data]
         after = np.concatenate([data[1:], [0]]) if len(data) else data
@@ -73,12 +95,14 @@ class WordEncoder:
         begin &= ~SPACE[data]
         begin[chunk_starts] = True
         starts = np.flatnonzero(begin)
-        ends = np.concatenate([starts[1:], [len(data)]]) if len(starts) else starts
-        return starts, np.minimum(ends, chunk_ends[np.searchsorted(chunk_starts, starts, "right") - 1]) if len(starts) else ends
+        if not len(starts):
+            return starts, starts, np.zeros(0, bool)
+        chunk = np.searchsorted(chunk_starts, starts, "right") - 1
+        return starts, np.minimum(np.append(starts[1:], len(data)), chunk_ends[chunk]), plain[chunk]
 
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's ids begin (and the end of the last)."""
-        starts, ends = self._units(data, bounds)
+        starts, ends, plain = self._units(data, bounds)
         keys, where, which = np.unique(self.hasher(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.of) > _KEEP:
             self.of.clear()
@@ -87,9 +111,10 @@ class WordEncoder:
         listed = keys.tolist()
         new = [i for i, k in enumerate(listed) if k not in of]
         if new:
-            a, b = starts[where].tolist(), ends[where].tolist()
-            self._learn([listed[i] for i in new], [raw[a[i] : b[i]].decode("utf-8", "replace") for i in new])
-        slot = np.fromiter((of[k] for k in listed), np.int64, len(listed))[which]
+            a, b, one = starts[where].tolist(), ends[where].tolist(), plain[where].tolist()
+            texts = [raw[a[i] : b[i]].decode("utf-8", "replace") for i in new]
+            self._learn([listed[i] for i in new], texts, [one[i] for i in new])
+        slot = np.fromiter(map(of.__getitem__, listed), np.int64, len(listed))[which]
         size = self.size[slot]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.start[slot] - total[:-1], size) + np.arange(int(total[-1]))]
@@ -116,7 +141,7 @@ def cut_pieces(
     extra = ", ids array<int>" if with_ids else ""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer)
+        encode = kept_in_worker(f"encoder {tokenizer}", lambda: WordEncoder(tokenizer))
         for batch in batches:
             owner, rows, kept_ids = [], [], []
             for lo, _, data, bounds in slices(batch.column(batch.num_columns - 1)):

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsloom.llm.collide import ENTRIES, ENTRY, bucket_count, by_ratio, candidate_links, packed, packed_batch, verified_components
+from opsloom.llm.collide import ENTRIES, ENTRY, bucket_count, candidate_links, everyone, packed, packed_batch, verified_components
 from opsloom.llm.components import connected_components, in_bitmap, member_bitmap
 from opsloom.llm.jaccard import link_sets
-from opsloom.llm.texts import LOWER, SPACED, Hasher, mix, runs, set_key, shingle_sets, slices, window_hashes, words
+from opsloom.llm.texts import LOWER, SPACED, Hasher, mix, range_keys, runs, slices, window_hashes, words
 from opsloom.session import cut_lineage
 
 _HEAD = (np.arange(256) & 0xC0) != 0x80
@@ -58,18 +58,14 @@ class Cuts:
         a, b = at[:-1], at[1:]
         keep = b - a >= size
         self.pieces = a, b = a[keep], b[keep]
-        length = b - a
-        place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        odd = mix(np.arange(1, (int(length.max()) if len(length) else 0) + 1, dtype=np.uint64) * np.uint64(_PLACE)) | np.uint64(1)
-        total = np.zeros(len(place) + 1, np.uint64)
-        np.cumsum(hashes[np.repeat(a, length) + place] * odd[place], out=total[1:])
-        edges = np.concatenate([[0], np.cumsum(length)])
-        self.piece_keys = mix(total[edges[1:]] - total[edges[:-1]] + length.astype(np.uint64))
+        self.piece_keys = range_keys(hashes, a, b)
+        self.line_keys = range_keys(hashes, *self.lines)
         self.starts, self.ends, self.first, self.bounds, self.data = starts, ends, first, bounds, data
 
-    def line_sets(self) -> list[np.ndarray]:
-        every = window_hashes(self.hashes, self.size)
-        return [np.unique(every[a : b - self.size + 1]) for a, b in zip(*(x.tolist() for x in self.lines), strict=True)]
+    def shingles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All shingles of the slice, and the first and end one of each line."""
+        begin, end = self.lines
+        return window_hashes(self.hashes, self.size), begin, end - self.size + 1
 
     def told(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
         """(text, number in its text, start, end in code points, words) of word ranges in order."""
@@ -80,9 +76,6 @@ class Cuts:
         return doc, number, heads[self.starts[begin]] - origin, heads[self.ends[end - 1]] - origin, end - begin
 
 
-_PLACE = 0xE7037ED1A0B428DB
-
-
 def repeated_paragraphs(
     docs: DataFrame,
     key: str = "doc_id",
@@ -121,23 +114,23 @@ def repeated_paragraphs(
                 pieces = np.zeros(len(cuts.piece_keys), ENTRY)
                 pieces["k"] = pieces["i"] = cuts.piece_keys
                 every = [pieces]
-                sets = cuts.line_sets()
-                if sets:
-                    lengths = np.array([len(x) for x in sets])
-                    flat = np.concatenate(sets)
-                    starts = np.cumsum(lengths) - lengths
-                    ids = np.array([set_key(x) for x in sets], np.uint64)
+                flat, begin, end = cuts.shingles()
+                if len(begin):
+                    # A range each for a line and for what lies between it and the next one.
+                    edges = np.stack([begin, end], 1).ravel()
+                    edges = edges[:-1] if edges[-1] == len(flat) else edges
                     for band in range(bands):
-                        total = np.full(len(sets), band + 1, np.uint64)
+                        total = np.full(len(begin), band + 1, np.uint64)
                         for row in range(rows):
                             spread = flat * seeds[band * rows + row]
-                            total = mix(total + np.minimum.reduceat(spread ^ (spread >> np.uint64(31)), starts))
-                        entries = np.empty(len(sets), ENTRY)
-                        entries["k"], entries["i"], entries["v"] = total, ids, lengths
+                            spread ^= spread >> np.uint64(31)
+                            total = mix(total + np.minimum.reduceat(spread, edges)[::2])
+                        entries = np.zeros(len(begin), ENTRY)
+                        entries["k"], entries["i"] = total, cuts.line_keys
                         every.append(entries)
                 yield packed_batch(list(packed(np.concatenate(every), buckets)))
 
-    ties = cut_lineage(candidate_links(docs.select(text).mapInArrow(banded, ENTRIES), by_ratio(percent)))
+    ties = cut_lineage(candidate_links(docs.select(text).mapInArrow(banded, ENTRIES), everyone))
     groups = connected_components(ties)
     context = docs.sparkSession.sparkContext
     nodes = ties.select(F.col("a").alias("id")).unionByName(ties.filter("a <> b").select(F.col("b").alias("id")))
@@ -149,8 +142,7 @@ def repeated_paragraphs(
         for batch in batches:
             for lo, _, data, bounds in slices(batch.column(1)):
                 cuts = Cuts(data, bounds, hasher, size, least, reach)
-                lines = np.array([set_key(x) for x in cuts.line_sets()], np.uint64)
-                for name, ids, (begin, end) in (("line", lines, cuts.lines), ("piece", cuts.piece_keys, cuts.pieces)):
+                for name, ids, (begin, end) in (("line", cuts.line_keys, cuts.lines), ("piece", cuts.piece_keys, cuts.pieces)):
                     at = np.flatnonzero(in_bitmap(bits, ids)) if len(ids) else np.zeros(0, np.int64)
                     if not len(at):
                         continue
@@ -173,13 +165,13 @@ def repeated_paragraphs(
             hasher, bits = Hasher(), wanted.value
             for batch in batches:
                 for _, _, data, bounds in slices(batch.column(0)):
-                    sets = Cuts(data, bounds, hasher, size, least, reach).line_sets()
-                    ids = np.array([set_key(x) for x in sets], np.uint64)
+                    cuts = Cuts(data, bounds, hasher, size, least, reach)
+                    (flat, begin, end), ids = cuts.shingles(), cuts.line_keys
                     at = np.flatnonzero(in_bitmap(bits, ids)) if len(ids) else np.zeros(0, np.int64)
                     at = at[np.unique(ids[at], return_index=True)[1]]
+                    cells = [np.unique(flat[begin[x] : end[x]]).tobytes() for x in at]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[at].view(np.int64)), pa.array([sets[x].tobytes() for x in at], pa.binary())],
-                        names=["id", "payload"],
+                        [pa.array(ids[at].view(np.int64)), pa.array(cells, pa.binary())], names=["id", "payload"]
                     )
 
         # Copies of a line in other slices are dropped where a cell is matched.

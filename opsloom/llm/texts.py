@@ -6,6 +6,8 @@ ASCII is 0x80 or more.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,7 +130,7 @@ def sequence_hash(words_hash: np.ndarray) -> int:
     n = len(words_hash)
     if n == 0:
         return 0
-    steps = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)) | np.uint64(1)
+    steps = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_PLACE)) | np.uint64(1)
     return int(mix(np.array([(words_hash * steps).sum(dtype=np.uint64) + np.uint64(n)]))[0])
 
 
@@ -144,13 +146,30 @@ def shingle_sets(words_hash: np.ndarray, first: np.ndarray, size: int) -> Iterat
             yield np.zeros(0, np.uint64)
 
 
-def set_key(sorted_set: np.ndarray) -> int:
-    """64-bit digest of a set: for 10^9 distinct sets, 0.03 chance collisions are expected."""
-    return int(mix(np.array([mix(sorted_set).sum(dtype=np.uint64) + np.uint64(len(sorted_set))]))[0])
+def set_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """64-bit digests of sets (0 for an empty one): for 10^9 distinct sets, 0.03 chance collisions are expected."""
+    lengths = np.array([len(x) for x in sets], np.int64)
+    out = np.zeros(len(sets), np.uint64)
+    full = np.flatnonzero(lengths)
+    if len(full):
+        flat = mix(np.concatenate(sets))
+        starts = (np.cumsum(lengths) - lengths)[full]
+        out[full] = mix(np.add.reduceat(flat, starts) + lengths[full].astype(np.uint64))
+    return out
 
 
-def signed(values: np.ndarray) -> np.ndarray:
-    return np.asarray(values, np.uint64).view(np.int64)
+def range_keys(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit digests of ranges of values, in their order; ranges are in order and do not overlap."""
+    length = end - begin
+    place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    odd = mix(np.arange(1, (int(length.max()) if len(length) else 0) + 1, dtype=np.uint64) * np.uint64(_PLACE)) | np.uint64(1)
+    total = np.zeros(len(place) + 1, np.uint64)
+    np.cumsum(values[np.repeat(begin, length) + place] * odd[place], out=total[1:])
+    edges = np.concatenate([[0], np.cumsum(length)])
+    return mix(total[edges[1:]] - total[edges[:-1]] + length.astype(np.uint64))
+
+
+_PLACE = 0xE7037ED1A0B428DB
 
 
 def share(context, value):
@@ -163,3 +182,11 @@ def shared(kind: type, fields) -> object:
     value = object.__new__(kind)
     value.__dict__.update(fields.value)
     return value
+
+
+def kept_in_worker(name: str, make):
+    """A value that later tasks of the same Python worker find again."""
+    place = sys.modules.setdefault("_opsloom_kept", types.ModuleType("_opsloom_kept")).__dict__
+    if name not in place:
+        place[name] = make()
+    return place[name]
