@@ -190,7 +190,9 @@ def jaccard_components(
     context = docs.sparkSession.sparkContext
     steps = [member_bitmap(x, "id") for x in shared_shingles(docs, text, size, shared_by)]
     ranks = context.broadcast(steps)
-    classes = texts.filter("set_key is not null").groupBy("set_key").agg(F.min(key).alias("first_key"), F.first("n").alias("n"))
+    classes = texts.filter("set_key is not null").groupBy("set_key").agg(
+        F.min(key).alias("first_key"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")
+    )
     buckets = bucket_count(docs)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,8 +263,7 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
     """
     texts, classes = jaccard_components(docs, key, text, percent, size)
     classes = cut_lineage(classes)
-    count = texts.filter("set_key is not null").groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"))
-    roots = classes.join(count, "set_key").groupBy("root").agg(
+    roots = classes.groupBy("root").agg(
         F.min("first_key").alias("component_id"), F.sum("copies").alias("n_texts")
     )
     of = classes.select("set_key", "root").join(roots, "root").select("set_key", "component_id", "n_texts")
@@ -281,19 +282,26 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     Rows that repeat key and text count as copies: one stays.
     """
     _, classes = jaccard_components(docs, key, text, percent, size)
-    best = classes.groupBy("root").agg(F.min(F.struct(F.col("first_key").isNull(), "first_key", "set_key")).alias("best"))
-    chosen = cut_lineage(best.select(F.col("best.set_key").alias("_set"), F.col("best.first_key").alias("_first")))
+    classes = cut_lineage(classes)
+    best = classes.groupBy("root").agg(
+        F.min(F.struct(F.col("first_key").isNull(), "first_key", "set_key")).alias("best"), F.sum("copies").alias("texts")
+    ).filter("texts > 1")
+    best = cut_lineage(best)
+    chosen = best.select(F.col("best.set_key").alias("_set"), F.col("best.first_key").alias("_first"))
+    busy = member_bitmap(classes.join(best.select("root"), "root", "left_semi"), "set_key")
     columns = docs.columns
-    keyed = _with_set_key(docs, text, size)
-    kept = keyed.join(chosen, (keyed["_set"] == chosen["_set"]) & keyed[key].eqNullSafe(chosen["_first"]))
-    one = kept.select(keyed["_set"], *(keyed[c] for c in columns)).withColumn(
-        "_n", F.row_number().over(Window.partitionBy("_set").orderBy(F.lit(0)))
-    ).filter("_n = 1")
+    # Only rows that may have others beside them are shuffled; a set that is alone passes through.
+    keyed = _with_set_key(docs, text, size, busy)
+    alone = classes.join(best.select("root"), "root", "left_anti").select(F.col("set_key").alias("_set"), F.col("first_key").alias("_first"))
+    alone = alone.filter(F.col("_set").isNotNull())
+    kept = keyed.join(chosen.unionByName(alone), "_set").filter(F.col(key).eqNullSafe(F.col("_first"))).drop("_first")
+    one = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_set").orderBy(F.lit(0)))).filter("_n = 1")
     return one.select(*columns).unionByName(keyed.filter("_set is null").select(*columns))
 
 
-def _with_set_key(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """All columns and _set, the key of the row's shingle set (null without one)."""
+def _with_set_key(docs: DataFrame, text: str, size: int, busy: np.ndarray) -> DataFrame:
+    """All columns and _set, the key of the row's shingle set; null without a set, or if the bitmap has not got it."""
+    bits = docs.sparkSession.sparkContext.broadcast(busy)
     columns = docs.columns
     place = columns.index(text)
 
@@ -304,7 +312,7 @@ def _with_set_key(docs: DataFrame, text: str, size: int) -> DataFrame:
             for _, found in _sets(batch.column(place), hasher, size):
                 keys = np.concatenate([keys, set_keys(found)])
                 empty = np.concatenate([empty, np.array([len(x) == 0 for x in found], bool)])
-            own = pa.array(keys.view(np.int64), pa.int64(), mask=empty)
+            own = pa.array(keys.view(np.int64), pa.int64(), mask=empty | ~in_bitmap(bits.value, keys))
             yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*columns, "_set"])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)

@@ -35,17 +35,19 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.hasher = Hasher()
-        self.of: dict[int, int] = {}
+        # Sorted keys of known stretches and, beside them, their places in the arrays below: 35 bytes each in all.
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.used = self.known = 0
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _learn(self, keys: list[int], texts: list[str], plain: list[bool]) -> None:
+    def _learn(self, keys: np.ndarray, texts: list[str], plain: list[bool]) -> np.ndarray:
         """Encodes new stretches. Plain ones are one pre-token each, so many go as one text and their ids part after
-        each word-ending token; should the numbers differ, they are encoded one by one."""
+        each word-ending token; should the numbers differ, they are encoded one by one. Returns their places."""
+        slots = np.empty(len(texts), np.int64)
         alone = [i for i, p in enumerate(plain) if not p]
         joined = [i for i, p in enumerate(plain) if p]
         for at in range(0, len(joined), 512):
@@ -55,25 +57,29 @@ class WordEncoder:
             if len(last) != len(own) or last[-1] != len(ids) - 1:
                 alone += own
             else:
-                self._add([keys[i] for i in own], ids, np.diff(last, prepend=-1))
+                slots[own] = self._add(ids, np.diff(last, prepend=-1))
         for i in alone:
             ids = np.array(self._encode(texts[i]), np.uint32)
-            self._add([keys[i]], ids, np.array([len(ids)]))
+            slots[i] = self._add(ids, np.array([len(ids)]))[0]
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
+        return slots
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _add(self, keys: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, to = len(self.of), len(self.of) + len(keys)
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        n, to = self.known, self.known + len(sizes)
         while to > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.of.update(zip(keys, range(n, to), strict=True))
         self.size[n:to] = sizes
         self.start[n:to] = self.used + np.cumsum(sizes) - sizes
         self.ids[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
+        self.known = to
+        return np.arange(n, to)
 
     def _units(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the stretches that are encoded on their own, and which of them are plain."""
@@ -104,17 +110,19 @@ class WordEncoder:
         """The ids of all texts in a row, and where each text's ids begin (and the end of the last)."""
         starts, ends, plain = self._units(data, bounds)
         keys, where, which = np.unique(self.hasher(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.of) > _KEEP:
-            self.of.clear()
-            self.used = 0
-        raw, of = data.tobytes(), self.of
-        listed = keys.tolist()
-        new = [i for i, k in enumerate(listed) if k not in of]
-        if new:
-            a, b, one = starts[where].tolist(), ends[where].tolist(), plain[where].tolist()
-            texts = [raw[a[i] : b[i]].decode("utf-8", "replace") for i in new]
-            self._learn([listed[i] for i in new], texts, [one[i] for i in new])
-        slot = np.fromiter(map(of.__getitem__, listed), np.int64, len(listed))[which]
+        if self.known > _KEEP:
+            self.keys, self.slots, self.used, self.known = self.keys[:0], self.slots[:0], 0, 0
+        at = np.searchsorted(self.keys, keys)
+        old = at < len(self.keys)
+        old[old] = self.keys[at[old]] == keys[old]
+        slot = np.empty(len(keys), np.int64)
+        slot[old] = self.slots[at[old]]
+        new = np.flatnonzero(~old)
+        if len(new):
+            raw, part = data.tobytes(), where[new]
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
+            slot[new] = self._learn(keys[new], texts, plain[part].tolist())
+        slot = slot[which]
         size = self.size[slot]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.start[slot] - total[:-1], size) + np.arange(int(total[-1]))]

@@ -14,6 +14,7 @@ from opsloom.session import cut_lineage
 
 _SYMBOL = byte_table("#*$%&|<>")
 _HEAD = (np.arange(256) & 0xC0) != 0x80
+_FEW_HOSTS = 100_000
 _MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -128,7 +129,10 @@ def apply_rules(
     failures = measure(docs.select(F.col(host).alias("host"), F.col(text).alias("text")), ("host",), "text")
     verdicts = host_verdicts(failures.select("host", base_failed().alias("failed")), reject_above)
     measured = measure(docs.withColumn("_host", F.col(host)), (*carry, "_host"), text, keep_text)
-    joined = measured.join(verdicts.select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), "bad"), "_host", "left")
+    verdicts = verdicts.select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), "bad")
+    # One row per host: handed to all tasks if they are few, so that texts need no shuffle; else an ordinary join.
+    few = verdicts.limit(_FEW_HOSTS + 1).count() <= _FEW_HOSTS
+    joined = measured.join(F.broadcast(verdicts) if few else verdicts, "_host", "left")
     return joined.withColumn("base_failed", base_failed()).withColumn(
         "kept", ~F.col("base_failed") & ~F.coalesce("bad", F.lit(False))
     ).drop("_host", "bad")

@@ -39,12 +39,15 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
     """(first row, end row, bytes, bounds) with about `limit` bytes each; a longer text comes alone. Null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     n = len(column)
     if n == 0:
         return
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
-    raw = column.buffers()[2]
+    if pa.types.is_null(column.type):
+        column = column.cast(pa.string())
+    offsets, raw = _buffers(column)
+    if column.null_count and (np.diff(offsets)[~column.is_valid().to_numpy(zero_copy_only=False)] > 0).any():
+        # Bytes behind a null are not text.
+        offsets, raw = _buffers(pc.fill_null(column.cast(pa.large_binary()), b""))
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
@@ -53,6 +56,13 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
+def _buffers(column: pa.Array) -> tuple[np.ndarray, pa.Buffer | None]:
+    """Offsets and bytes of a text or binary array as they lie in memory, without a copy."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    every = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)
+    return every[column.offset : column.offset + len(column) + 1].astype(np.int64), column.buffers()[2]
+
+
 def runs(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of true, cut at the bounds of the texts."""
     n = len(inside)
