@@ -189,3 +189,13 @@ def test_ledger_chains_and_tampering(spark):
     assert {(r.claim_id, r.ok, r.first_bad_seq) for r in lg.verify_chains(bad).collect()} == {("a", False, 2), ("b", True, None)}
     gone = whole.filter("NOT (claim_id = 'a' AND seq = 2)")
     assert {(r.claim_id, r.first_bad_seq) for r in lg.verify_chains(gone).collect()} == {("a", 3), ("b", None)}
+
+
+def test_ledger_with_null_fields_verifies(spark):
+    from opsloom.operators import ledger
+
+    events = [(1, "t1", "c1", "a", "x", None), (2, "t2", "c1", None, "y", "{}"), (1, "t1", "c2", "a", "x", "None")]
+    rows = spark.createDataFrame(events, "seq_in bigint, ts string, claim_id string, actor string, event string, payload string")
+    chained = ledger.append_events(rows)
+    assert {tuple(r) for r in ledger.verify_chains(chained).collect()} == {("c1", True, None), ("c2", True, None)}
+    assert chained.select("hash").distinct().count() == 3

@@ -110,3 +110,18 @@ def test_novelty_counts_empty_windows(spark):
     )
     found = dt.detect_novelty(traces, spans).collect()
     assert [(r.group_key, r.window_start_ns) for r in found] == [("model:fresh", 6 * W)]
+
+
+def test_tails_at_scale():
+    assert 0.4 < poisson_tail(1000, 1000.0) < 0.6 and poisson_tail(2000, 1000.0) < 1e-100
+    for k, lam in ((3, 4.0), (12, 10.0), (40, 10.0), (800, 760.0)):
+        below = math.fsum(math.exp(i * math.log(lam) - lam - math.lgamma(i + 1)) for i in range(k))
+        assert math.isclose(poisson_tail(k, lam), 1 - below, rel_tol=1e-6, abs_tol=1e-12)
+    for k, n, p in ((8, 10, 0.1), (2, 10, 0.1), (30, 40, 0.5), (700, 2000, 0.33)):
+        exact = math.fsum(
+            math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+            for i in range(k, n + 1)
+        )
+        assert math.isclose(binomial_tail(k, n, p), exact, rel_tol=1e-8)
+    assert 0.45 < binomial_tail(300_000_000, 10**9, 0.3) < 0.55
+    assert 0.45 < poisson_tail(10**9, 1e9) < 0.55

@@ -127,3 +127,20 @@ def test_bm25_against_brute_force(spark):
             if s > 0:
                 want[(qid, k)] = s
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
+def test_pii_prefilter_loses_nothing(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from opsloom.functions import pii
+
+    rng = random.Random(7)
+    parts = ["42 42 42 42 42 42 42 42", "4-2-4-2-4-2-4-2-4-2-4-2-4-2-4-2", "a@b.co", "123-45-6789", "１２３-４５-６７８９", "Bearer " + "x" * 20,
+             "10.1.2.3", "AKIA" + "A" * 16, "sk-" + "a" * 20, "no", "1 2", "(555) 123-4567", "-----BEGIN PRIVATE KEY-----x-----END PRIVATE KEY-----"]
+    texts = [*parts, *(rng.choice(" .,x").join(rng.sample(parts, 3)) for _ in range(200))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("hits", pii.pii_scan(F.col("t")))
+    for row in df.collect():
+        assert [h.asDict() for h in row.hits] == pii.find_hits(row.t)
+    assert [h["kind"] for h in pii.find_hits(parts[0])] == ["CREDIT_CARD"]
