@@ -65,9 +65,15 @@ def _score_block(vectors: DataFrame, pdf: pd.DataFrame, k: int, vector_id: str)
             block = np.vstack([np.asarray(v, dtype=np.float64) for v in batch["embedding"]])
             size = np.linalg.norm(block, axis=1)
             sims = (block / np.where(size == 0, 1.0, size)[:, None]) @ matrix.T
-            # Everything that ties with the k-th best stays, so that ids can break ties later.
-            kth = np.partition(sims, -k, axis=0)[-k] if len(ids) > k else np.full(sims.shape[1], -2.0)
-            rows, cols = np.nonzero(sims >= kth - 1e-12)
+            # Exactly k rows leave a batch per query; ties with the k-th best go by id, as in the final ranking.
+            kth = np.partition(sims, -k, axis=0)[-k] if len(ids) > k else np.full(sims.shape[1], -np.inf)
+            rows, cols = np.nonzero(sims >= kth)
+            by_id = np.empty(len(ids), np.int64)
+            by_id[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+            order = np.lexsort((by_id[rows], -sims[rows, cols], cols))
+            rows, cols = rows[order], cols[order]
+            first = np.arange(len(cols)) - np.searchsorted(cols, cols) < k
+            rows, cols = rows[first], cols[first]
             yield pd.DataFrame({"query_id": query_ids[cols], "id": ids[rows], "score": sims[rows, cols]})
 
     return vectors.select(F.col(vector_id).alias("id"), "embedding").mapInPandas(
