@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from opsloom.session import cut_lineage, ensure_checkpoint_dir
 
 BITMAP_BITS = 1 << 26
+_LINKS_A_TASK = 100_000
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         # Large star: every larger neighbour of a node is tied to the node's smallest neighbour.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: every smaller neighbour of a node, and the node, are tied to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -41,6 +42,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         ).isEmpty():
             break
         before = state
+        # Few links need few tasks: each task of a round writes files of its own.
+        edges = edges.coalesce(1 + state[0] // _LINKS_A_TASK)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
