@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,20 +14,57 @@ from opsloom.session import cut_lineage, ensure_checkpoint_dir
 
 BITMAP_BITS = 1 << 26
 _LINKS_A_TASK = 100_000
+_LINKS_A_BLOCK = 1_000_000
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the links but the roots, and the smallest node of its component among them."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while (label[x] != label[y]).any():
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        while (label[label] != label).any():
+            label = label[label]
+    tied = label != np.arange(len(nodes))
+    return nodes[tied], nodes[label[tied]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of a task, block by block, as stars: at most one link for each node of a block."""
+    held: list[pa.RecordBatch] = []
+
+    def done() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        a, b = _stars(table["a"].to_numpy(), table["b"].to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= _LINKS_A_BLOCK:
+            yield done()
+            held.clear()
+    if held:
+        yield done()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of its component, for every node of the links (a, b).
 
-    Alternates large-star and small-star steps until nothing changes; each round is checkpointed. Rows stay
-    at or below the number of links, and a hub's links are only ever reduced with a partial minimum.
-    Null ends and self links are ignored; an empty table gives an empty one.
+    Each task first turns its own links into stars. Then large-star and small-star steps alternate until all links
+    are stars; each round is checkpointed and starts with the tasks' own links again, in as many tasks as there are
+    links for. Links that fit one task are done with that. Rows stay at or below the number of links, and a hub's
+    links are only ever reduced with a partial minimum. Null ends and self links are ignored; an empty table gives
+    an empty one.
     """
-    edges = cut_lineage(
-        links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
-    before = None
+    edges = cut_lineage(links.filter("a <> b").select("a", "b").mapInArrow(_contract, "a bigint, b bigint"))
     while True:
+        tasks = 1 + edges.count() // _LINKS_A_TASK
+        edges = cut_lineage(edges.coalesce(tasks).mapInArrow(_contract, "a bigint, b bigint"))
+        if tasks == 1:
+            break
         # Large star: every larger neighbour of a node is tied to the node's smallest neighbour.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -34,16 +73,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut_lineage(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        state = edges.agg(
-            F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.countDistinct("a")
-        ).first()
-        if state == before or state[0] == state[2] and edges.join(
-            edges.select(F.col("a").alias("b")), "b", "left_semi"
-        ).isEmpty():
+        n, nodes = edges.agg(F.count(F.lit(1)), F.countDistinct("a")).first()
+        if n == nodes and edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             break
-        before = state
-        # Few links need few tasks: each task of a round writes files of its own.
-        edges = edges.coalesce(1 + state[0] // _LINKS_A_TASK)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

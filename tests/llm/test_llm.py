@@ -337,11 +337,22 @@ def test_quality(docs, rows, nothing):
     assert quality.apply_rules(nothing).count() == 0
 
 
-def test_components(spark):
-    links = [(1, 2), (2, 3), (9, 8), (5, 5), (None, 4), (100, 1), *((i, i + 1) for i in range(200, 260))]
-    got = dict(tuple(r) for r in components.connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect())
-    assert {k: got[k] for k in (1, 2, 3, 8, 9, 100, 260)} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, 100: 1, 260: 200}
-    assert 5 not in got
+@pytest.mark.parametrize("links_a_task", [100_000, 7])
+def test_components(spark, monkeypatch, links_a_task):
+    monkeypatch.setattr(components, "_LINKS_A_TASK", links_a_task)
+    monkeypatch.setattr(components, "_LINKS_A_BLOCK", 10 * links_a_task)
+    links = [(1, 2), (2, 3), (9, 8), (5, 5), (None, 4), (100, 1), (1, 2), *((i, i + 1) for i in range(200, 260))]
+    links += [(1000 + i * 37 % 50, 1000 + (i + 1) * 37 % 50) for i in range(49)] + [(5000, i) for i in range(4000, 4060)]
+    links += [(-7, 7)]
+    table = spark.createDataFrame(links, "a bigint, b bigint")
+    got = dict(tuple(r) for r in components.connected_components(table.repartition(6)).collect())
+    want = {k: k for a, b in links if a is not None and a != b for k in (a, b)}
+    for _ in links:
+        for a, b in links:
+            if a in want and b in want:
+                want[a] = want[b] = min(want[a], want[b])
+    assert got == want
+    assert components.connected_components(table.limit(0)).count() == 0
 
 
 def test_pipeline_stages(spark):
