@@ -53,18 +53,23 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of its component, for every node of the links (a, b).
 
-    Each task first turns its own links into stars. Then large-star and small-star steps alternate until all links
-    are stars; each round is checkpointed and starts with the tasks' own links again, in as many tasks as there are
-    links for. Links that fit one task are done with that. Rows stay at or below the number of links, and a hub's
+    Each task turns its own links into stars, in as many tasks as there are links for; links that fit one task are
+    done with that. Otherwise a large-star and a small-star step follow, and so on until all links are stars. Each
+    round is checkpointed. Rows stay at or below the number of links, and a hub's
     links are only ever reduced with a partial minimum. Null ends and self links are ignored; an empty table gives
     an empty one.
     """
-    edges = cut_lineage(links.filter("a <> b").select("a", "b").mapInArrow(_contract, "a bigint, b bigint"))
+    # Stored first: a task that also makes the links in Python would need a second worker beside the first.
+    edges = cut_lineage(links.filter("a <> b").select("a", "b"))
     while True:
-        tasks = 1 + edges.count() // _LINKS_A_TASK
+        before = edges.count()
+        tasks = 1 + before // _LINKS_A_TASK
         edges = cut_lineage(edges.coalesce(tasks).mapInArrow(_contract, "a bigint, b bigint"))
         if tasks == 1:
             break
+        if 2 * edges.count() <= before:
+            # Half as many links need half as many tasks, and a task then sees more of them together.
+            continue
         # Large star: every larger neighbour of a node is tied to the node's smallest neighbour.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
