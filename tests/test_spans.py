@@ -1,4 +1,5 @@
 import json
+import random
 
 from opsloom.operators import rca
 from opsloom.operators import spans as sp
@@ -89,6 +90,22 @@ def test_baseline_range_steps_back_over_neighbours(spark):
     assert got == {"a": 100, "b": 100, "c": 30, "d": 100}
 
 
+def test_baseline_ranges_equal_a_walk(spark):
+    rnd = random.Random(5)
+    data = []
+    for n in range(300):
+        start = rnd.randint(0, 400)
+        data.append((f"p{n % 12}", f"i{n}", start, start + rnd.choice((0, 1, 5, 20))))
+    df = spark.createDataFrame(data, "project_id string, incident_id string, start_ns bigint, end_ns bigint")
+    got = {r.incident_id: (r.base_start_ns, r.base_end_ns) for r in rca.baseline_ranges(df, 50, 3).collect()}
+
+    def walk(project, own, end):
+        covers = [s for p, i, s, e in data if p == project and i != own and s < end <= e + 3]
+        return walk(project, own, min(covers)) if covers else end
+
+    assert got == {i: (walk(p, i, s) - 50, walk(p, i, s)) for p, i, s, _ in data}
+
+
 def test_as_of_state_carries_across_buckets(spark):
     day = 86_400 * 10**6
     changes = spark.createDataFrame([("a", 10, "v1", None), ("a", 3 * day, None, "m2"), ("a", 3 * day + 5, "v2", None)], "k string, us bigint, ver string, model string")

@@ -65,11 +65,22 @@ def test_sections_and_chunks():
     assert corpus.split_recursively("x" * 450, 200, 50) == ["x" * 200, "x" * 200, "x" * 150]
 
 
-def test_names_and_pairs():
-    out = corpus.names_and_pairs("After lunch the Orion Team met INC-2041 owners. Service was slow. We saw Orion Team again with Beta Corp.")
-    names = {n["name"]: n["mentions"] for n in out["names"]}
+def test_names_and_pairs(spark):
+    text = "After lunch the Orion Team met INC-2041 owners. Service was slow. We saw Orion Team again with Beta Corp."
+    many = " ".join(f"We met Acme{i} and Zeta{i} Labs." for i in range(40))
+    df = spark.createDataFrame([("a", text), ("b", many), ("c", None), ("d", ""), ("e", "no names here")], "chunk_id string, text string")
+    found = corpus.extract_names(df)
+    mentions = {(r.chunk_id, r.name): r.mentions for r in corpus.entity_mentions(found).collect()}
+    pairs = {(r.chunk_id, r.source, r.target) for r in corpus.relation_mentions(found).collect()}
+    names = {n: m for (k, n), m in mentions.items() if k == "a"}
     assert names["Orion Team"] == 2 and "Service" not in names and "After" not in names and "INC-2041" in names
-    assert {"source": "Orion Team", "target": "Beta Corp"} in out["pairs"]
+    assert ("a", "Orion Team", "Beta Corp") in pairs
+    # No name and no pair of a text is dropped unless asked for.
+    assert all(("b", f"Acme{i}") in mentions and ("b", f"Acme{i}", f"Zeta{i} Labs") in pairs for i in range(40))
+    assert {k for k, _ in mentions} == {"a", "b"}
+    top = corpus.extract_names(df, top=1)
+    assert [(r.chunk_id, r.name) for r in corpus.entity_mentions(top).orderBy("chunk_id").collect()] == [("a", "Orion Team"), ("b", "Acme0")]
+    assert corpus.relation_mentions(found, max_pairs=2).filter("chunk_id = 'b'").count() == 2
 
 
 def test_scan_corpus(spark, tmp_path):
