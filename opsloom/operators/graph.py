@@ -6,6 +6,7 @@ third of all chunks is just a frequent value, not an unbounded cell.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -220,13 +221,15 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
         reached = reached.unionByName(frontier)
 
 
-def communities(edges: DataFrame, min_size: int = 3, top: int = 64, max_rounds: int = 20) -> DataFrame:
+def communities(edges: DataFrame, min_size: int = 1, top: int | None = None, max_rounds: int = 200) -> DataFrame:
     """(community, node, size) by weighted label propagation, largest communities first.
 
     Every round each node takes the label with the largest total weight among its neighbours (its
-    own label counts as the tie breaker, then the smaller one). Half of the nodes, chosen by hash,
-    move at a time, which keeps two-sided structures from swapping labels forever. Label weights are
-    summed on the map side first, so a hub costs one row per neighbouring label.
+    own label counts as the tie breaker, then the smaller one). Half of the nodes move at a time, then
+    the other half, and every pair of rounds draws the halves anew by hash, so that neighbours do not
+    swap labels forever. Rounds end when a whole pair moved nothing; labels that have not settled after
+    max_rounds are reported by a warning. Label weights are summed on the map side first, so a hub
+    costs one row per neighbouring label. `min_size` and `top` drop nothing unless set.
     """
     links = cut_lineage(_both_ways(collapse_edges(edges)))
     labels = links.select("node").distinct().withColumn("label", F.col("node"))
@@ -243,25 +246,30 @@ def communities(edges: DataFrame, min_size: int = 3, top: int = 64, max_rounds:
             .groupBy("node", "own")
             .agg(F.min_by("label", F.struct(-F.col("w"), F.col("label") != F.col("own"), "label")).alias("best"))
         )
-        mover = F.pmod(F.xxhash64("node"), F.lit(2)) == step % 2
+        mover = F.pmod(F.xxhash64("node", F.lit(step // 2)), F.lit(2)) == step % 2
         moved = cut_lineage(best.select("node", F.when(mover, F.col("best")).otherwise(F.col("own")).alias("label"), "own"))
         changed = not moved.filter("label <> own").isEmpty()
         labels = moved.select("node", "label")
         quiet = 0 if changed else quiet + 1
-        if quiet == 2:
+        if quiet >= 2 and step % 2:
             break
+    else:
+        warnings.warn(f"labels still moved after {max_rounds} rounds", stacklevel=2)
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first"))
-    kept = sizes.filter(F.col("size") >= min_size).orderBy(F.desc("size"), "first").limit(top)
+    kept = sizes.filter(F.col("size") >= min_size)
+    if top is not None:
+        kept = kept.orderBy(F.desc("size"), "first").limit(top)
     return labels.join(kept, "label").select(F.col("first").alias("community"), "node", "size")
 
 
-def community_members(members: DataFrame, provenance: DataFrame, nodes: DataFrame, top: int = 20) -> DataFrame:
-    """Members of each community with the most provenance chunks."""
+def community_members(members: DataFrame, provenance: DataFrame, nodes: DataFrame, top: int | None = None) -> DataFrame:
+    """Members of each community, those with the most provenance chunks first; `top` keeps that many."""
     counts = provenance.groupBy(F.col("key").alias("node")).agg(F.count(F.lit(1)).alias("chunks"))
     named = members.join(nodes.select(F.col("key").alias("node"), "name", "type", "description"), "node")
     ranked = named.join(counts, "node", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0).cast("bigint")))
     order = Window.partitionBy("community").orderBy(F.desc("chunks"), "node")
-    return ranked.withColumn("position", F.row_number().over(order).cast("bigint")).filter(F.col("position") <= top)
+    placed = ranked.withColumn("position", F.row_number().over(order).cast("bigint"))
+    return placed if top is None else placed.filter(F.col("position") <= top)
 
 
 def community_facts(top_members: DataFrame, edges: DataFrame, limit: int = 30) -> DataFrame:
@@ -277,8 +285,7 @@ def membership_edges(members: DataFrame) -> DataFrame:
 def cooccurrence_edges(groups: DataFrame) -> DataFrame:
     """Undirected pairs of distinct names within a group (a sentence), with the number of groups.
 
-    Names are made distinct first. A sentence holds at most the 15 names kept for its chunk, which
-    bounds the pairs of a group.
+    Names are made distinct first; the length of a sentence bounds the pairs of a group.
     """
     names = groups.select("group_id", "name").distinct()
     other = names.withColumnRenamed("name", "other")

@@ -152,7 +152,7 @@ def communities(spark, sf_dir):
 def community_inputs(spark, sf_dir):
     nodes, provenance = gr.resolve_entities(_name_mentions(spark, sf_dir))
     strong = _strong(spark, sf_dir)
-    members = gr.community_members(gr.communities(strong), provenance, nodes)
+    members = gr.community_members(gr.communities(strong), provenance, nodes, top=20)
     return gr.community_facts(cut_lineage(members), strong).select("community", "src", "tgt", "type", "rank")
 
 

@@ -355,19 +355,12 @@ def global_search(spark, sf_dir):
     """Communities of the name graph as documents: best four per question, then three local chunks."""
     asked, _, edges, _, local = _hybrid(spark, sf_dir)
     members = gr.communities(edges, min_size=2)
-    ranked = members.withColumn("n", F.row_number().over(_member_order())).filter("n <= 20")
-    texts = ranked.groupBy("community").agg(F.array_join(F.array_sort(F.collect_list("node")), " ").alias("text"))
+    texts = members.groupBy("community").agg(F.array_join(F.array_sort(F.collect_list("node")), " ").alias("text"))
     vectors = rt.hash_embed(texts, "community", "text")
     hits = rt.vector_top_k(vectors, rt.hash_embed(asked, "query_id", "text"), 4, "community")
     return rt.union_contexts(hits, local)
 
 
-def _member_order():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("community").orderBy("node")
-
-
 @query(
     "union_contexts",
     f"""WITH {CENTROIDS_SQL}, {BM25_SQL}, c AS (SELECT query_id, 0 AS part, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank,
