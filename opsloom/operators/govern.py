@@ -279,8 +279,18 @@ def governed_views(tables: Mapping[str, DataFrame], policy: RolePolicy, context:
     return views
 
 
-def row_cap(df: DataFrame, policy: RolePolicy, own_limit: int | None = None) -> DataFrame:
-    return df.limit(policy.max_rows if own_limit is None else min(own_limit, policy.max_rows))
+def _flag_more(capped: DataFrame, whole: DataFrame, limit: int, flag: str | None) -> DataFrame:
+    """Adds the flag column: whether `whole` has more rows than the limit. Reads at most one row beyond it."""
+    if flag is None:
+        return capped
+    more = whole.limit(limit + 1).agg((F.count(F.lit(1)) > limit).alias("more"))
+    return capped.withColumn(flag, more.scalar())
+
+
+def row_cap(df: DataFrame, policy: RolePolicy, own_limit: int | None = None, flag: str | None = None) -> DataFrame:
+    """At most the role's rows; a column named `flag` tells whether rows were left out."""
+    limit = policy.max_rows if own_limit is None else min(own_limit, policy.max_rows)
+    return _flag_more(df.limit(limit), df, limit, flag)
 
 
 # Functions that reach outside the tables.
@@ -293,12 +303,13 @@ def governed_sql(
     policy: RolePolicy,
     sql: str,
     context: Mapping | None = None,
+    flag: str | None = None,
 ) -> DataFrame:
     """Run a SELECT of a user against the role's views only.
 
     The views live in a session of their own, so other tables do not resolve. The text is used as a
-    subquery, which admits nothing but one query; the outer limit caps its rows. Whatever the plan
-    reads must come from files behind the views.
+    subquery, which admits nothing but one query; the outer limit caps its rows, and a column named
+    `flag` tells whether rows were left out. Whatever the plan reads must come from files behind the views.
     """
     if _UNSAFE_CALL.search(sql):
         raise PolicyViolation("function not allowed")
@@ -315,7 +326,7 @@ def governed_sql(
     allowed = {f for view in views.values() for f in view.inputFiles()}
     if not set(result.inputFiles()) <= allowed:
         raise PolicyViolation("query reads data outside the role's tables")
-    return result
+    return _flag_more(result, session.sql(body), policy.max_rows, flag)
 
 
 def check_write(policy: RolePolicy, table: str) -> None:

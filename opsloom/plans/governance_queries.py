@@ -255,6 +255,18 @@ def semi_join_row_filter(spark, sf_dir):
     return gv.governed_sql(spark, load_star(sf_dir), PORTAL, sql, {"provider_id": 7})
 
 
+@query(
+    "truncated_read",
+    f"""WITH {STAR_SQL}, own AS (SELECT claim_id, procedure_code, CAST(units AS BIGINT) AS units FROM claim_lines
+      WHERE claim_id IN (SELECT claim_id FROM line_claims WHERE provider_id = 7))
+    SELECT *, (SELECT count(*) FROM own) > 200 AS truncated FROM own ORDER BY claim_id, procedure_code, units LIMIT 200""",
+)
+def truncated_read(spark, sf_dir):
+    """A portal user's first lines, with a flag that tells whether the role's 200 rows left some out."""
+    sql = "SELECT claim_id, procedure_code, CAST(units AS BIGINT) AS units FROM claim_lines ORDER BY claim_id, procedure_code, units"
+    return gv.governed_sql(spark, load_star(sf_dir), PORTAL, sql, {"provider_id": 7}, flag="truncated")
+
+
 @query(
     "row_level_security",
     f"WITH {STAR_SQL} SELECT claim_id, primary_diagnosis_code, status FROM line_claims WHERE provider_id = 3",
