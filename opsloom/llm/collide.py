@@ -71,34 +71,6 @@ def by_ratio(percent: int) -> Callable[[np.ndarray], np.ndarray]:
     return join
 
 
-def by_distance(bits: int, reach: int = 64) -> Callable[[np.ndarray], np.ndarray]:
-    """Ties entries of a key whose values differ in `bits` bits at most.
-
-    Beyond `reach` neighbours of one key all are tied: more candidates, none lost; verification follows.
-    """
-
-    def join(entries: np.ndarray) -> np.ndarray:
-        found = [np.zeros(0, LINK)]
-        at = np.flatnonzero(entries["k"][1:] == entries["k"][:-1]) if len(entries) else np.zeros(0, np.int64)
-        if len(at):
-            groups = np.unique(entries["k"], return_index=True, return_counts=True)
-            for a, n in zip(groups[1][groups[2] > reach], groups[2][groups[2] > reach], strict=True):
-                chain = np.empty(n - 1, LINK)
-                chain["a"], chain["b"] = entries["i"][a : a + n - 1], entries["i"][a + 1 : a + n]
-                found.append(chain)
-        for shift in range(1, reach + 1):
-            at = np.flatnonzero(entries["k"][shift:] == entries["k"][:-shift])
-            if not len(at):
-                break
-            near = np.bitwise_count(entries["v"][at] ^ entries["v"][at + shift]) <= bits
-            pair = np.empty(int(near.sum()), LINK)
-            pair["a"], pair["b"] = entries["i"][at[near]], entries["i"][at[near] + shift]
-            found.append(pair)
-        return np.concatenate(found)
-
-    return join
-
-
 def everyone(entries: np.ndarray) -> np.ndarray:
     """Ties all entries of a key in a row."""
     near = entries["k"][1:] == entries["k"][:-1]
@@ -107,17 +79,19 @@ def everyone(entries: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidate_links(entries: DataFrame, join: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Distinct (a, b) with a <= b from packed entries; a = b tells that an id occurs in two slices or twice in one."""
+def candidate_links(entries: DataFrame, join: Callable[[np.ndarray], np.ndarray], kind: np.dtype = ENTRY) -> DataFrame:
+    """Distinct (a, b) with a <= b from packed entries; a = b tells that an id occurs in two slices or twice in one.
+
+    Entries of another `kind` carry more fields than ENTRY, told by the id."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts = None, []
 
         def done() -> pa.RecordBatch:
-            found = np.frombuffer(b"".join(parts), ENTRY)
+            found = np.frombuffer(b"".join(parts), kind)
             found = found[np.lexsort((found["i"], found["v"], found["k"]))]
             again = np.zeros(len(found), bool)
-            again[1:] = (found["k"][1:] == found["k"][:-1]) & (found["i"][1:] == found["i"][:-1])
+            again[1:] = np.logical_and.reduce([found[c][1:] == found[c][:-1] for c in ("k", "i", "v")])
             twice = np.unique(found["i"][again])
             links = join(found[~again])
             own = np.empty(len(twice), LINK)

@@ -223,6 +223,54 @@ def test_line_dedup(spark, nothing):
     assert lines.dedup_lines(nothing).count() == 0
 
 
+def brute_lines(texts, least=5, percent=80):
+    """(doc_id, line) of the repeats that go: all pairs of lines by their words' edit distance; keys differ."""
+    found = []
+    for key, text in sorted(texts):
+        for number, line in enumerate(text.split("\n")):
+            w = re.findall(ALNUM, re.sub("[0-9]", "0", low(line)))
+            if len(w) >= least:
+                found.append((key, number, w))
+    code = {}
+    coded = [np.array([code.setdefault(x, len(code)) for x in w], np.uint64) for _, _, w in found]
+    root = list(range(len(found)))
+    for j in range(len(found)):
+        for i in range(j):
+            n = max(len(coded[i]), len(coded[j]))
+            if root[i] != root[j] and 100 * min(len(coded[i]), len(coded[j])) >= percent * n:
+                if 100 * (n - lines.word_distance(coded[i], coded[j])) >= percent * n:
+                    x, y = sorted((root[i], root[j]))
+                    root = [x if r == y else r for r in root]
+    return {found[j][:2] for j in range(len(found)) if root[j] != j}
+
+
+@pytest.mark.parametrize("vocabulary", [100000, 40, 4])
+def test_lines_edited(spark, vocabulary):
+    rng = random.Random(vocabulary)
+    word = lambda: f"w{chr(97 + rng.randrange(26))}x" + "".join(chr(97 + int(c)) for c in str(rng.randrange(vocabulary)))
+    if vocabulary == 4:
+        word = lambda: rng.choice(["the", "of", "a", "and"])
+    texts = []
+    for i in range(150):
+        n = rng.choice([5, 6, 7, 8, 9, 10, 10, 11, 15, 16, 20, 24, 30, 50, 120])
+        line = [word() for _ in range(n)]
+        texts.append((10 * i, " ".join(line)))
+        # One word replaced; and as many edits as the similarity allows, or one more, spread evenly.
+        one = [*line]
+        one[rng.randrange(n)] = word()
+        texts.append((10 * i + 1, "other\n" + " ".join(one)))
+        many, count = [*line], n // 5 + rng.choice([0, 0, 1])
+        for k in range(count):
+            at = (2 * k + 1) * len(many) // (2 * count)
+            many[at : at + 1] = rng.choice([[], [word()], [word()], [many[at], word()]])
+        texts.append((10 * i + 2, " ".join(many)))
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    got = {(r.key, r.line) for r in lines.repeated_lines(df).join(
+        df.select(F.col("doc_id").alias("key"), F.xxhash64("doc_id", "text").alias("row_key")), "row_key").filter("not keep").collect()}
+    want = brute_lines(texts)
+    assert len(want) >= 150 and got == want
+
+
 def test_packing(docs, rows, nothing):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
