@@ -36,6 +36,9 @@ def packed(entries: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, byte
     entries = entries[np.lexsort((entries["i"], entries["v"], entries["k"]))]
     same = np.zeros(len(entries), bool)
     same[1:] = (entries["k"][1:] == entries["k"][:-1]) & (entries["v"][1:] == entries["v"][:-1])
+    if len(entries.dtype) > len(ENTRY):
+        # Further fields are told by the id, so only entries of one id are alike.
+        same[1:] &= entries["i"][1:] == entries["i"][:-1]
     links = np.empty(int(same.sum()), LINK)
     links["a"], links["b"] = entries["i"][:-1][same[1:]], entries["i"][same]
     links = np.unique(links)
