@@ -219,18 +219,20 @@ def pack(
     length: str = "length",
     order: tuple[str, ...] = (),
     capacity: int = 2048,
-    open_bins: int = 4096,
+    open_bins: int | None = None,
     per_task: int = 32 << 20,
 ) -> DataFrame:
     """The pieces with sequence_id and offset, no sequence over `capacity`, its pieces gapless from 0.
 
     Pieces are dealt evenly over the tasks by a hash, about `per_task` tokens to each, so a hot source is spread; each
-    task packs its pieces, longest first, with its own bins. What the bins of a task leave open is at most a few
-    sequences in thousands. `order` breaks ties of length, so a lost task is packed again in the same way; rows
+    task packs its pieces, longest first, with its own bins. Twice as many may be open as a task's tokens fill, so that
+    none closes before the short pieces come, unless `open_bins` says less. `order` breaks ties of length, so a lost task is packed again in the same way; rows
     that tie in everything are alike. Lengths must lie in 1..capacity. An empty table gives an empty one.
     """
     total = pieces.agg(F.sum(length)).first()[0] or 0
     tasks = max(1, -(-total // per_task))
+    if open_bins is None:
+        open_bins = max(1, 2 * per_task // capacity)
     columns = [*order, length] if length not in order else list(order)
     dealt = pieces.repartition(tasks, F.xxhash64(*columns)) if tasks > 1 else pieces.coalesce(1)
     ordered = dealt.sortWithinPartitions(F.desc(length), *order)

@@ -308,6 +308,12 @@ def test_open_bins_close_the_fullest():
     assert [bins.put(n) for n in (7, 6, 5, 4)] == [(0, 0), (1, 0), (2, 0), (1, 6)]
 
 
+def test_bins_stay_open_for_short_pieces(spark):
+    # 5000 pieces of over half a bin come first, then what fills each of them.
+    df = spark.range(5000).selectExpr("1 + id % 1000 AS short").selectExpr("explode(array(2048 - short, short)) AS length")
+    assert packing.pack(df).select("sequence_id").distinct().count() == 5000
+
+
 def test_decontamination(spark, nothing):
     rng = random.Random(4)
     words = [f"v{i}" for i in range(30)]
