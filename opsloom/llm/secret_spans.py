@@ -24,9 +24,22 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "jwt", "key", "pem")
 
 # Candidates of the structural kinds.
-JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-]|\.[A-Za-z0-9_-])")
+# A line may end as such or escaped, as in JSON; header lines, as of encrypted keys, come before an empty line.
+_END = r"(?:\s|\\+[nrt])"
+PEM = re.compile(
+    rf"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----{_END}*((?:[A-Za-z0-9-]+:\x20[\x20-\x5B\x5D-\x7E]*{_END}+)*)"
+    rf"((?:[A-Za-z0-9+/=]|{_END})+)-----END \1-----"
+)
+_ENDS = re.compile(_END)
+# A bare key may be wrapped: full lines of one length, then a last one.
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/=])")
+WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/])(?:(?:[A-Za-z0-9+/]{64}(?:\r?\n|(?:\\r)?\\n)[\x20\t]*)+[A-Za-z0-9+/]{1,64}"
+    r"|(?:[A-Za-z0-9+/]{70}(?:\r?\n|(?:\\r)?\\n)[\x20\t]*)+[A-Za-z0-9+/]{1,70}"
+    r"|(?:[A-Za-z0-9+/]{76}(?:\r?\n|(?:\\r)?\\n)[\x20\t]*)+[A-Za-z0-9+/]{1,76})={0,2}(?![A-Za-z0-9+/=])"
+)
+_BREAK = re.compile(r"\r?\n[\x20\t]*|(?:\\r)?\\n[\x20\t]*")
 BARE_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 
 _LONG = byte_table("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
@@ -74,6 +87,23 @@ def is_der_key(data: bytes) -> bool:
     return any(tag in (0x02, 0x04) and b - a >= 16 for tag, a, b in parts[1:])
 
 
+def is_encrypted_key(data: bytes) -> bool:
+    """The encrypted PKCS#8 shape: a sequence that fills the data, of an algorithm (a sequence that begins with an
+    identifier) and octets of a key's size."""
+    outer = _tlv(data, 0)
+    if outer is None or outer[0] != 0x30 or outer[2] != len(data):
+        return False
+    parts = _children(data, outer[1], outer[2])
+    if not parts or [t for t, _, _ in parts] != [0x30, 0x04] or parts[1][2] - parts[1][1] < 16:
+        return False
+    inner = _children(data, *parts[0][1:])
+    return bool(inner) and inner[0][0] == 0x06
+
+
+def is_key(data: bytes) -> bool:
+    return is_der_key(data) or is_encrypted_key(data) or is_ssh_key(data)
+
+
 def is_ssh_key(data: bytes) -> bool:
     """The new private format's magic, or length-prefixed fields of a named key type that fill the data."""
     if data.startswith(b"openssh-key-v1\0"):
@@ -118,18 +148,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def structural_spans(text: str) -> list[tuple[int, int, int]]:
     """Candidates that decode and parse: signed tokens, bare keys in base64 or hex, private key blocks."""
     out = [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_signed_token(m[1], m[2])]
+    taken: list[tuple[int, int]] = []
+    for m in WRAPPED.finditer(text):
+        data = _decode64(_BREAK.sub("", m[0]))
+        if data and is_key(data):
+            taken.append(m.span())
     for m in BASE64.finditer(text):
         data = _decode64(m[0])
-        if data and (is_der_key(data) or is_ssh_key(data)):
-            out.append((m.start(), 4, m.end()))
+        if data and is_key(data) and not any(a <= m.start() and m.end() <= b for a, b in taken):
+            taken.append(m.span())
+    out += [(a, 4, b) for a, b in taken]
     for m in BARE_HEX.finditer(text):
         data = bytes.fromhex(m[0])
-        if is_der_key(data) or is_ssh_key(data):
+        if is_key(data):
             out.append((m.start(), 4, m.end()))
     for m in PEM.finditer(text):
-        data = _decode64("".join(m[2].split()))
-        if data and (is_der_key(data) or is_ssh_key(data)):
+        # Ciphertext of the old form has no structure: its headers say what it is.
+        legacy = "Proc-Type:" in m[2] and "ENCRYPTED" in m[2] and "DEK-Info:" in m[2]
+        data = _decode64(_ENDS.sub("", m[3]))
+        if data and (is_key(data) or legacy):
             out.append((m.start(), 5, m.end()))
+            # The block is the key: its lines are no bare key beside it.
+            out = [x for x in out if x[1] != 4 or not (m.start(3) <= x[0] and x[2] <= m.end(3))]
     return sorted(set(out))
 
 

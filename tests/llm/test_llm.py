@@ -374,6 +374,33 @@ def test_secrets(spark, nothing):
     assert secret_spans.scan_secrets(nothing).count() == 0
 
 
+def test_secret_shapes():
+    def tlv(tag, body):
+        n = len(body)
+        return bytes([tag]) + (bytes([n]) if n < 128 else b"\x82" + n.to_bytes(2)) + body
+
+    key = tlv(0x30, b"\x02\x01\x00" + b"".join(tlv(2, bytes([1 + i]) * 64) for i in range(4)))
+    sealed = tlv(0x30, tlv(0x30, tlv(6, b"\x2a\x86\x48") + tlv(0x30, b"")) + tlv(4, b"\x07" * 160))
+    token = ".".join(base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=") for x in ({"alg": "HS256"}, {"sub": 1})) + ".c2ln"
+    b64 = base64.b64encode(key).decode()
+    pem = lambda name, body, end: f"-----BEGIN {name}-----{end}{body}{end}-----END {name}-----"
+    wrap = lambda n, end: end.join(b64[i : i + n] for i in range(0, len(b64), n))
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+    found = [
+        (f"it is {token}.", 3, token), (f"it is {token}. And", 3, token), (token, 3, token),
+        *[(pem("PRIVATE KEY", wrap(64, e), e), 5, None) for e in ("\n", "\r\n", "\\n", "\\r\\n")],
+        (pem("RSA PRIVATE KEY", headers + base64.b64encode(b"\x99" * 96).decode(), "\n"), 5, None),
+        (pem("ENCRYPTED PRIVATE KEY", base64.b64encode(sealed).decode(), "\n"), 5, None),
+        *[(wrap(n, e), 4, None) for n in (64, 76) for e in ("\n", "\r\n", "\\n")],
+        (base64.b64encode(sealed).decode(), 4, None), (sealed.hex(), 4, None),
+    ]
+    for text, kind, part in found:
+        at = text.index(part or text)
+        assert secret_spans.structural_spans(text) == [(at, kind, at + len(part or text))], text
+    for text in (f"{token}.more", pem("PRIVATE KEY", base64.b64encode(key[:-1]).decode(), "\n"), "A" * 64 + "\n" + "B" * 64):
+        assert secret_spans.structural_spans(text) == [], text
+
+
 def test_quality(docs, rows, nothing):
     got = pairs(quality.apply_rules(docs), "doc_id", "n_repeat_words", "n_dup_lines", "base_failed", "kept")
     want = []
