@@ -98,7 +98,7 @@ def repeated_paragraphs(
     neighbours that repeat make up `least_run` words or more.
 
     A cluster counts if it has two different keys. Its first occurrence by (key, kind, paragraph) is kept, the others
-    are removed. Null and empty texts have no paragraphs. Rows that repeat a key and its text are the same occurrence.
+    are removed. A line and a piece that are the same words at the same place are one occurrence, told by two rows. Null and empty texts have no paragraphs. Rows that repeat a key and its text are the same occurrence.
     Rows with a null key sort first and do not make a cluster repeat. An empty table gives an empty one.
     """
     bands, rows = tune_bands(percent / 100, recall)
@@ -182,7 +182,7 @@ def repeated_paragraphs(
     )
     linked = verified_components(groups, payloads, size_of, link_sets(percent))
     # Per paragraph first, then per cluster: a paragraph that a third of all rows hold is reduced early.
-    order = F.struct(F.col(key).alias("key"), "kind", "paragraph")
+    order = F.struct(F.col(key).alias("key"), "kind", "paragraph", "id", "start", "end")
     of_id = found.groupBy("id").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.min(order).alias("first"))
     of_id = cut_lineage(
         of_id.join(linked.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("cluster_id", F.coalesce("root", "id"))
@@ -191,7 +191,9 @@ def repeated_paragraphs(
         F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("_first")
     ).filter("low <> high")
     decided = of_id.select("id", "cluster_id").join(clusters.select("cluster_id", "_first"), "cluster_id")
-    joined = found.join(decided, "id").withColumn("removed", ~order.eqNullSafe(F.col("_first")))
+    place = F.struct(F.col(key).alias("key"), "id", "start", "end")
+    kept = F.struct("_first.key", "_first.id", "_first.start", "_first.end")
+    joined = found.join(decided, "id").withColumn("removed", ~place.eqNullSafe(kept))
     # Neighbouring pieces that repeat, counted per text: at most one text's pieces meet in a window.
     own = Window.partitionBy(key, "kind")
     run = F.col("paragraph") - F.row_number().over(own.orderBy("paragraph"))

@@ -184,6 +184,22 @@ def test_paragraphs(spark, nothing):
     assert 1 - (1 - 0.75**rows_) ** bands >= 0.995
 
 
+def test_line_that_is_a_piece(spark):
+    from opsloom.llm.texts import Hasher
+
+    hasher = Hasher()
+    for seed in range(10000):
+        text = " ".join(f"v{seed}x{i}" for i in range(21))
+        data = np.frombuffer(text.encode(), np.uint8)
+        a, b = paragraphs.Cuts(data, np.array([0, len(data)]), hasher, 5, 20, 6).pieces
+        if len(a) == 1 and b[0] - a[0] == 21:
+            break
+    found = paragraphs.repeated_paragraphs(spark.createDataFrame([(1, text), (2, text)], "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.kind, r.removed) for r in found) == [
+        (1, "line", False), (1, "piece", False), (2, "line", True), (2, "piece", True)
+    ]
+
+
 def test_word_distance():
     rng = random.Random(2)
     for _ in range(200):
