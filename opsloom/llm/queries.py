@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsloom.llm import decontaminate, jaccard, licenses, lines, packing, paragraphs, quality, secret_spans, tokencount, warc
+from opsloom.llm import (
+    curve, decontaminate, jaccard, licenses, lines, packing, paragraphs, periodic, prefixes, quality, secret_spans, tokencount, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,10 +71,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, members = prefixes.borrowed_starts(prefixes.numbered_turns(_table(spark, sf_dir, "conversations")))
+    return prefixes.trie_report(turns, members).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("seed"))
+    return periodic.periodic_runs(docs, seed="seed")
+
+
+def op13_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve.curve_sequences(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")).drop("hilbert_key")
+
+
 def queries() -> dict[str, Query]:
     own = (
         op1_license_scan, op2_token_counts, op3_ngram_jaccard, op4_paragraph_minhash, op5_line_dedup,
         op6_best_fit_packing, op7_decontamination, op8_warc_normaliser, op9_secret_scan, op10_quality_rules,
+        op11_prefix_trie, op12_periodic_runs, op13_curve_packing,
     )
     return {f.__name__: f for f in own}
 
@@ -162,6 +183,72 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
+# CRC-32 of a decimal number's text: fixed values of the polynomial and the start, a bit at a time.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({c}::VARCHAR, ''), lambda s: ord(s)::BIGINT)),
+    lambda c, s: list_reduce(list_prepend(xor(c, s), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+_OP11 = f"""
+WITH t AS MATERIALIZED (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS place,
+        coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS MATERIALIZED (
+    SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC.format(c='conv_id')} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+m AS MATERIALIZED (
+    SELECT c.conv_id, base, h, least(h, count(t.place)) AS taken FROM c LEFT JOIN t ON t.conv_id = c.base GROUP BY 1, 2, 3),
+r AS MATERIALIZED (
+    SELECT m.conv_id, place, role, text FROM m JOIN t ON t.conv_id = m.base WHERE place < taken
+    UNION ALL SELECT m.conv_id, place - h + taken, role, text FROM m JOIN t USING (conv_id) WHERE place >= h),
+path AS MATERIALIZED (
+    SELECT conv_id, place + 1 AS depth, strlen(text) AS bytes,
+        sha256(to_json(list([role, text]) OVER (PARTITION BY conv_id ORDER BY place))::VARCHAR) AS node FROM r
+    UNION ALL SELECT conv_id, 0, 0, 'top' FROM c),
+n AS MATERIALIZED (
+    SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM path GROUP BY 1, 2),
+up AS MATERIALIZED (SELECT n.node, p.node AS above FROM n JOIN path p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+kids AS (SELECT above AS node, count(*) AS n_children FROM up GROUP BY 1),
+below AS (
+    SELECT p.node, sum(CASE WHEN k.node IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.bytes) AS saved_tokens
+    FROM n JOIN path p ON p.conv_id = n.conv_id AND p.depth <= n.depth LEFT JOIN kids k ON k.node = n.node GROUP BY 1),
+last AS (SELECT conv_id, max(depth) AS depth FROM path GROUP BY 1),
+ends AS (
+    SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM path JOIN last USING (conv_id, depth) GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+    coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens,
+    coalesce(ends, sha256('')) AS ends_sha256
+FROM n JOIN below USING (node) LEFT JOIN kids USING (node) LEFT JOIN ends USING (node)
+LEFT JOIN up USING (node) LEFT JOIN n p ON p.node = up.above
+"""
+
+_OP12 = f"""
+WITH t AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w, {_CRC.format(c='doc_id')} AS h FROM documents),
+g AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM t),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a FROM g),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+words AS MATERIALIZED (
+    SELECT doc_id, n, i, w[(CASE WHEN i < a THEN i ELSE a + (i - a) % p END)::BIGINT + 1] AS word FROM p, range(n) r(i)),
+same AS (
+    SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y
+    ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (
+    SELECT doc_id, q, min(i) AS a, count(*) + q AS length
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same) GROUP BY doc_id, q, island),
+long AS MATERIALIZED (SELECT * FROM islands WHERE length >= greatest(6, 4 * q)),
+runs AS MATERIALIZED (
+    SELECT * FROM long x WHERE NOT EXISTS (
+        FROM long y WHERE y.doc_id = x.doc_id AND y.a = x.a AND y.length = x.length AND y.q < x.q)),
+told AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(concat(a, ',', length, ',', q, chr(10)), '' ORDER BY a, q) AS listed,
+        first(struct_pack(a, length, q) ORDER BY length DESC, a, q) AS best FROM runs GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, i FROM runs, range(a + q, a + length) r(i)),
+kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM words LEFT JOIN gone USING (doc_id, i) WHERE gone.i IS NULL GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.a::BIGINT AS start, best.length::BIGINT AS length, best.q::BIGINT AS period,
+    (1000 * best.length // best.q)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+    sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -169,4 +256,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontamination": _OP7,
         "op8_warc_normaliser": _OP8,
         "op10_quality_rules": _OP10,
+        "op11_prefix_trie": _OP11,
+        "op12_periodic_runs": _OP12,
     }
