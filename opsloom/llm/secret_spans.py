@@ -7,6 +7,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,24 +24,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "jwt", "key", "pem")
 
-# Candidates of the structural kinds.
-JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-]|\.[A-Za-z0-9_-])")
-# A line may end as such or escaped, as in JSON; header lines, as of encrypted keys, come before an empty line.
-_END = r"(?:\s|\\+[nrt])"
-PEM = re.compile(
-    rf"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----{_END}*((?:[A-Za-z0-9-]+:\x20[\x20-\x5B\x5D-\x7E]*{_END}+)*)"
-    rf"((?:[A-Za-z0-9+/=]|{_END})+)-----END \1-----"
-)
-_ENDS = re.compile(_END)
-# A bare key may be wrapped: full lines of one length, then a last one.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/=])")
-WRAPPED = re.compile(
-    r"(?<![A-Za-z0-9+/])(?:(?:[A-Za-z0-9+/]{64}(?:\r?\n|(?:\\r)?\\n)[\x20\t]*)+[A-Za-z0-9+/]{1,64}"
-    r"|(?:[A-Za-z0-9+/]{70}(?:\r?\n|(?:\\r)?\\n)[\x20\t]*)+[A-Za-z0-9+/]{1,70}"
-    r"|(?:[A-Za-z0-9+/]{76}(?:\r?\n|(?:\\r)?\\n)[\x20\t]*)+[A-Za-z0-9+/]{1,76})={0,2}(?![A-Za-z0-9+/=])"
-)
-_BREAK = re.compile(r"\r?\n[\x20\t]*|(?:\\r)?\\n[\x20\t]*")
-BARE_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
+# Candidates of the structural kinds. Each pattern reads a character a fixed number of times: no repeat holds another
+# repeat, and a repeat is possessive or ends where its characters end.
+DOTTED = re.compile(r"[A-Za-z0-9_.-]{13,}+")
+BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+END = re.compile(r"-----END ([A-Z0-9 ]*PRIVATE KEY)-----")
+HEADER = re.compile(r"[A-Za-z0-9-]++:\x20[\x20-\x7E]*+")
+ENCODED = re.compile(r"(?:(?<=\\[nrt])|(?<![A-Za-z0-9+/])(?!(?<=\\)[nrt]))[A-Za-z0-9+/]{16,}+={0,2}+")
+BARE_HEX = re.compile(r"[0-9A-Fa-f]{64,}+")
+# A line may end as such or escaped, as in JSON.
+_ESCAPED = re.compile(r"(?<!\\)\\++[nrt]")
+_BREAK = re.compile(r"(?:\r?\n|(?:\\++r)?\\++n)[\x20\t]*+")
 
 _LONG = byte_table("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key", b"private key-----")
@@ -104,18 +98,32 @@ def is_key(data: bytes) -> bool:
     return is_der_key(data) or is_encrypted_key(data) or is_ssh_key(data)
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """The new private format's magic, or length-prefixed fields of a named key type that fill the data."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
+def _fields(data: bytes) -> list[bytes] | None:
+    """The length-prefixed fields that fill the data."""
+    out, at = [], 0
+    while at < len(data):
         size = int.from_bytes(data[at : at + 4])
         if at + 4 + size > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + size])
+            return None
+        out.append(data[at + 4 : at + 4 + size])
         at += 4 + size
-    return at == len(data) and len(fields) >= 2 and fields[0].startswith((b"ssh-", b"ecdsa-"))
+    return out
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """The private format of SSH: its magic, three fields (cipher, derivation and its options), the number of keys, then
+    as many public keys and one private part, without a gap; each public key is fields in turn, a key type first."""
+    magic = b"openssh-key-v1\0"
+    if not data.startswith(magic):
+        return False
+    rest, at = data[len(magic) :], 0
+    for _ in range(3):
+        at += 4 + int.from_bytes(rest[at : at + 4])
+    count, parts = int.from_bytes(rest[at : at + 4]), _fields(rest[at + 4 :])
+    if at + 4 > len(rest) or not parts or not 1 <= count == len(parts) - 1 or len(parts[-1]) < 16:
+        return False
+    public = [_fields(p) for p in parts[:-1]]
+    return all(p and len(p) >= 2 and p[0].startswith((b"ssh-", b"ecdsa-", b"sk-")) for p in public)
 
 
 def _decode64(text: str, url: bool = False) -> bytes | None:
@@ -145,32 +153,95 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def structural_spans(text: str) -> list[tuple[int, int, int]]:
-    """Candidates that decode and parse: signed tokens, bare keys in base64 or hex, private key blocks."""
-    out = [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_signed_token(m[1], m[2])]
-    taken: list[tuple[int, int]] = []
-    for m in WRAPPED.finditer(text):
-        data = _decode64(_BREAK.sub("", m[0]))
-        if data and is_key(data):
-            taken.append(m.span())
-    for m in BASE64.finditer(text):
-        data = _decode64(m[0])
-        if data and is_key(data) and not any(a <= m.start() and m.end() <= b for a, b in taken):
-            taken.append(m.span())
-    out += [(a, 4, b) for a, b in taken]
+def _signed_tokens(text: str) -> list[tuple[int, int, int]]:
+    """Header, payload and signature between dots, wherever the last three parts are a token's; a dot may end it."""
+    out = []
+    for m in DOTTED.finditer(text):
+        parts, at, i = m[0].split("."), m.start(), 0
+        while i + 2 < len(parts):
+            head, payload, signature = parts[i : i + 3]
+            # A header begins with a brace, so its first character is told by that byte's first six bits.
+            last = i + 3 == len(parts) or not parts[i + 3]
+            if last and len(head) >= 8 and head[0] == "e" and len(payload) >= 2 and is_signed_token(head, payload):
+                end = at + len(head) + len(payload) + len(signature) + 2
+                out.append((at, 3, end))
+                at, i = end + 1, i + 3
+            else:
+                at, i = at + len(head) + 1, i + 1
+    return out
+
+
+def _bare_keys(text: str) -> list[tuple[int, int, int]]:
+    """Keys in base64, on one line or wrapped at any width: full lines of one length, then a last one that is no longer."""
+    found = list(ENCODED.finditer(text))
+    joined = [
+        y.start() - x.end() < 4096 and x[0][-1] != "=" and _BREAK.fullmatch(text, x.end(), y.start()) is not None
+        for x, y in zip(found[:-1], found[1:], strict=True)
+    ]
+    # A short last line is found only here, as ENCODED wants 16 characters.
+    last = re.compile(r"[A-Za-z0-9+/]++={0,2}+|={1,2}+")
+    out, i = [], 0
+    while i < len(found):
+        j = i
+        while j < len(joined) and joined[j] and len(found[j + 1][0]) == len(found[i][0]):
+            j += 1
+        width, parts, end = len(found[i][0]), [m[0] for m in found[i : j + 1]], found[j].end()
+        gap = _BREAK.match(text, end) if parts[-1][-1] != "=" else None
+        tail = last.match(text, gap.end()) if gap else None
+        tries = [("".join(parts), end)] if width >= 40 or j > i else []
+        if tail and len(tail[0].rstrip("=")) <= width:
+            tries.insert(0, ("".join(parts) + tail[0], tail.end()))
+        for value, stop in tries:
+            # Padding that goes on is none.
+            data = None if text[stop : stop + 1] == "=" else _decode64(value)
+            if data and is_key(data):
+                out.append((found[i].start(), 4, stop))
+                break
+        else:
+            for m in found[i : j + 1] if j > i else ():
+                data = _decode64(m[0]) if len(m[0]) >= 40 and text[m.end() : m.end() + 1] != "=" else None
+                if data and is_key(data):
+                    out.append((m.start(), 4, m.end()))
+        i = j + 1
     for m in BARE_HEX.finditer(text):
-        data = bytes.fromhex(m[0])
-        if is_key(data):
+        if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0])):
             out.append((m.start(), 4, m.end()))
-    for m in PEM.finditer(text):
-        # Ciphertext of the old form has no structure: its headers say what it is.
-        legacy = "Proc-Type:" in m[2] and "ENCRYPTED" in m[2] and "DEK-Info:" in m[2]
-        data = _decode64(_ENDS.sub("", m[3]))
-        if data and (is_key(data) or legacy):
-            out.append((m.start(), 5, m.end()))
-            # The block is the key: its lines are no bare key beside it.
-            out = [x for x in out if x[1] != 4 or not (m.start(3) <= x[0] and x[2] <= m.end(3))]
-    return sorted(set(out))
+    return out
+
+
+def _key_blocks(text: str) -> list[tuple[int, int, int]]:
+    """Blocks between a BEGIN line and the next END line of the same name, without another BEGIN between: header lines
+    (as of encrypted keys), then base64 that is a key. Ciphertext of the old form has no structure, but its headers."""
+    begins, ends = list(BEGIN.finditer(text)), list(END.finditer(text))
+    stops, out = [m.start() for m in ends], []
+    for i, m in enumerate(begins):
+        k = bisect_left(stops, m.end())
+        if k == len(ends) or (i + 1 < len(begins) and begins[i + 1].start() < stops[k]) or ends[k][1] != m[1]:
+            continue
+        lines = _ESCAPED.sub("\n", text[m.end() : stops[k]]).splitlines()
+        at, legacy = 0, set()
+        while at < len(lines) and (not lines[at].strip() or HEADER.fullmatch(lines[at])):
+            legacy |= {"type"} if lines[at].startswith("Proc-Type:") and "ENCRYPTED" in lines[at] else set()
+            legacy |= {"info"} if lines[at].startswith("DEK-Info:") else set()
+            at += 1
+        data = _decode64("".join("".join(lines[at:]).split()))
+        if data and (is_key(data) or len(legacy) == 2):
+            out.append((m.start(), 5, ends[k].end()))
+    return out
+
+
+def structural_spans(text: str) -> list[tuple[int, int, int]]:
+    """Candidates that decode and parse: signed tokens, bare keys in base64 or hex, private key blocks. A block is the
+    key: its lines are no bare key beside it."""
+    blocks = _key_blocks(text)
+    starts = [a for a, _, _ in blocks]
+
+    def inside(a: int, b: int) -> bool:
+        k = bisect_right(starts, a) - 1
+        return k >= 0 and b <= blocks[k][2]
+
+    bare = [x for x in _bare_keys(text) if not inside(x[0], x[2])]
+    return sorted({*_signed_tokens(text), *bare, *blocks})
 
 
 def _told(spans: list[tuple[int, int, int]]) -> str:
