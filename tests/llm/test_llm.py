@@ -222,18 +222,9 @@ def test_line_dedup(spark, nothing):
     ]
     df = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("line", F.lit(0))
     got = {(r.doc_id, r.text, r.n_removed) for r in lines.dedup_lines(df).collect()}
-    hashes = {}
-    from opsloom.llm.texts import Hasher
-
-    hasher = Hasher()
-    for name, t in (("long", long), ("near", near)):
-        column = np.frombuffer(t.encode(), np.uint8)
-        _, _, a, b, own, _ = lines._lines(column, np.array([0, len(column)]), hasher, 5)
-        hashes[name] = lines.simhashes(own, a, b)[0]
-    is_near = int(np.bitwise_count(hashes["long"] ^ hashes["near"])) <= 3
     want = {
         (1, texts[0][1], 0), (2, "Of.\nThe total is 12 in all of it", 1), (3, None, 0), (4, "", 0), (6, "", 1), (None, texts[7][1], 0),
-        (5, "some words that no other has", 1) if is_near else (5, texts[4][1], 0),
+        (5, "some words that no other has", 1),
     }
     assert got == want
     assert lines.dedup_lines(nothing).count() == 0
@@ -281,10 +272,33 @@ def test_lines_edited(spark, vocabulary):
             many[at : at + 1] = rng.choice([[], [word()], [word()], [many[at], word()]])
         texts.append((10 * i + 2, " ".join(many)))
     df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
-    got = {(r.key, r.line) for r in lines.repeated_lines(df).join(
-        df.select(F.col("doc_id").alias("key"), F.xxhash64("doc_id", "text").alias("row_key")), "row_key").filter("not keep").collect()}
+    names = df.select(F.col("doc_id").alias("key"), F.xxhash64("doc_id", "text").alias("row_key"))
     want = brute_lines(texts)
-    assert len(want) >= 150 and got == want
+    assert len(want) >= 150
+    words_of = {(i, n): len(x.split()) for i, t in texts for n, x in enumerate(t.split("\n"))}
+    for missed, least in ((0, 1), (0.02, 0.9)):
+        got = {(r.key, r.line) for r in lines.repeated_lines(df, missed=missed).join(names, "row_key").filter("not keep").collect()}
+        if vocabulary == 4:
+            # All lines are alike: which one of a group is the first depends on every link of it.
+            assert len(got & want) >= least * len(want)
+            continue
+        assert got <= want
+        for lo, hi in ((5, 9), (10, 20), (21, 50), (51, 999)):
+            own = {x for x in want if lo <= words_of[x] <= hi}
+            assert len(got & own) >= least * len(own), (missed, lo, len(got & own), len(own))
+
+
+def test_simhashes():
+    rng = np.random.default_rng(3)
+    length = np.array([5, 0, 9, 300, 255, 256, 17, 1, 64])
+    end = np.cumsum(length)
+    hashes = rng.integers(0, 1 << 63, int(end[-1])).astype(np.uint64)
+    got = lines.simhashes(hashes, end - length, end)
+    for i, n in enumerate(length.tolist()):
+        for w in range(lines.SIGNATURE):
+            own = lines.mix(hashes[end[i] - n : end[i]] ^ lines._SALT[w])
+            bits = [sum(int(x) >> b & 1 for x in own) for b in range(64)]
+            assert int(got[i, w]) == sum((2 * c > n) << b for b, c in enumerate(bits))
 
 
 def test_packing(docs, rows, nothing):
