@@ -220,7 +220,9 @@ def test_line_dedup(spark, nothing):
         (1, f"{long}\nOf.\nonly here are five words"), (2, f"Of.\n{long.upper()}!\nThe total is 12 in all of it"), (3, None), (4, ""),
         (5, f"{near}\nsome words that no other has"), (6, "the total is 99 in all of it\n"), (6, "the total is 99 in all of it\n"), (None, "five of the words here now"),
     ]
-    df = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("line", F.lit(0))
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    for name in ("line", "row_key", "gone", "doc", "id", "payload", "own_key", "own_text", "n_lines", "_gone", "_row"):
+        df = df.withColumn(name, F.lit(0))
     got = {(r.doc_id, r.text, r.n_removed) for r in lines.dedup_lines(df).collect()}
     want = {
         (1, texts[0][1], 0), (2, "Of.\nThe total is 12 in all of it", 1), (3, None, 0), (4, "", 0), (6, "", 1), (None, texts[7][1], 0),
