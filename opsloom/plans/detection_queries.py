@@ -10,7 +10,7 @@ from opsloom.functions.stats import binom_sf, poisson_sf
 from opsloom.operators import detect as dt
 from opsloom.operators.incremental import IncrementalDetector
 from opsloom.plans.catalog import query
-from opsloom.plans.mappings import DAY_NS, PERIOD_NS, TRACES_SQL, spans
+from opsloom.plans.mappings import DAY_NS, PERIOD_NS, SPANS_SQL, TRACES_SQL, spans
 from opsloom.plans.trace_queries import stored_traces
 from opsloom.session import cut_lineage
 from opsloom.sources.tables import read_table
@@ -96,7 +96,7 @@ def component_window_metrics(spark, sf_dir):
     return out.withColumn("ms_per_token_p50", F.round("ms_per_token_p50", 5))
 
 
-def _fold_sql(series: str, center: str, judged: str, score: str, flag: str) -> str:
+def fold_sql(series: str, center: str, judged: str, score: str, flag: str) -> str:
     """Recursive walk over one numbered series per (project, group); flagged windows skip the history."""
     return f"""
 series AS ({series}),
@@ -117,7 +117,7 @@ walk AS (
 )"""
 
 
-LATENCY_FOLD = _fold_sql(
+LATENCY_FOLD = fold_sql(
     "SELECT project_id, root_name AS grp, window_start_ns AS w, lat AS x, CAST(NULL AS BIGINT) AS n FROM agent WHERE traces >= 8",
     "list_median(v.hx)",
     """(x - baseline) / greatest(1.4826 * list_median(list_transform(hx, lambda v: abs(v - baseline))),
@@ -125,7 +125,7 @@ LATENCY_FOLD = _fold_sql(
     "judged",
     "judged >= 4 AND baseline <> 0 AND (x - baseline) / baseline >= 0.5 AND x - baseline >= 100",
 )
-RATE_FOLD = _fold_sql(
+RATE_FOLD = fold_sql(
     "SELECT project_id, root_name AS grp, window_start_ns AS w, CAST(err AS DOUBLE) AS x, traces AS n FROM agent WHERE traces >= 8",
     "greatest((list_sum(v.hx) + 0.5) / (list_sum(v.hn) + 1), 0.002)",
     """CASE WHEN x <= 0 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(CAST(x AS BIGINT), n + 1),
@@ -133,14 +133,16 @@ RATE_FOLD = _fold_sql(
     "least(30.0, -log10(greatest(judged, 1e-300)))",
     "judged < 1e-4 AND x >= 3 AND x / n >= 2 * baseline",
 )
-COUNT_FOLD = _fold_sql(
-    "SELECT project_id, root_name AS grp, window_start_ns AS w, CAST(traces AS DOUBLE) AS x, CAST(NULL AS BIGINT) AS n FROM agent",
+COUNT_RULE = (
     "greatest(list_avg(v.hx), 1.0)",
     """CASE WHEN x <= 0 THEN 1.0 ELSE greatest(0.0, 1.0 - list_sum(list_transform(range(0, CAST(x AS BIGINT)),
       lambda i: exp(i * ln(baseline) - baseline - lgamma(i + 1))))) END""",
     "least(30.0, -log10(greatest(judged, 1e-300)))",
     "judged < 1e-4 AND x >= 2 * baseline",
 )
+COUNT_FOLD = fold_sql(
+    "SELECT project_id, root_name AS grp, window_start_ns AS w, CAST(traces AS DOUBLE) AS x, CAST(NULL AS BIGINT) AS n FROM agent", *COUNT_RULE
+)
 
 
 def _verdict_sql(fold: str, observed: str, score_digits: int) -> str:
@@ -326,8 +328,14 @@ def incident_islands(spark, sf_dir):
     return dt.incident_islands(marked, gap_ns=0)
 
 
-def _incremental_sql() -> str:
-    """The three folds over all complete windows at once; the query does them in two runs."""
+def incremental_sql(lag_ns: int = 0, unique: bool = False) -> str:
+    """The three folds over all complete windows at once; the queries do them in several runs. `unique`: of each span the
+    first delivery only."""
+    agent = AGENT_SQL
+    if unique:
+        once = """, spans AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY project_id, span_id
+          ORDER BY arrival, arrival_tie, duration_ms, cost_usd, status) AS rn FROM delivered) WHERE rn = 1)"""
+        agent = agent.replace(SPANS_SQL, SPANS_SQL.replace("spans AS (", "delivered AS (", 1) + once)
     folds, parts = "", []
     for name, fold, observed in (("latency", LATENCY_FOLD, "x"), ("error_rate", RATE_FOLD, "x / n"), ("throughput", COUNT_FOLD, "x")):
         for table in ("series", "numbered", "walk"):
@@ -337,17 +345,21 @@ def _incremental_sql() -> str:
             f"SELECT '{name}' AS detector, project_id, 'agent:' || grp AS group_key, w AS window_start_ns, round({observed}, 5) AS observed, "
             f"round(baseline, 5) AS baseline, round(score, 3) AS score FROM walk_{name} WHERE flag"
         )
-    closed = f"""closed AS (SELECT project_id, max(end_ns) // {PERIOD_NS} * {PERIOD_NS} AS cursor_ns FROM traces GROUP BY 1)"""
+    closed = f"""closed AS (SELECT project_id, (max(end_ns) - {lag_ns}) // {PERIOD_NS} * {PERIOD_NS} AS cursor_ns FROM traces GROUP BY 1)"""
     return (
-        "WITH RECURSIVE " + AGENT_SQL + ", " + closed + folds + " SELECT f.*, c.cursor_ns FROM (" + " UNION ALL ".join(parts)
+        "WITH RECURSIVE " + agent + ", " + closed + folds + " SELECT f.*, c.cursor_ns FROM (" + " UNION ALL ".join(parts)
         + f") f JOIN closed c ON c.project_id = f.project_id WHERE window_start_ns + {PERIOD_NS} <= cursor_ns"
     )
 
 
-@query("detect_incremental", _incremental_sql())
+@query("detect_incremental", incremental_sql())
 def detect_incremental(spark, sf_dir):
     """Two runs, the second from the state that the first one committed; the cursor is the one of the last run."""
-    detector = two_runs(spark, sf_dir)
+    return agent_anomalies(two_runs(spark, sf_dir))
+
+
+def agent_anomalies(detector):
+    """The anomalies of three detectors that SQL can say, with the projects' cursors."""
     found = detector.anomalies().filter(F.col("detector").isin("latency", "error_rate", "throughput") & F.col("group_key").startswith("agent:"))
     return found.join(detector.cursors().select("project_id", "cursor_ns"), "project_id").select(
         "detector", "project_id", "group_key", "window_start_ns", F.round("observed", 5).alias("observed"),
