@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opsloom.operators import graph as gr
+from opsloom.operators.modularity import _weighted_links, modular_communities, modularity
 from opsloom.plans.catalog import query
 from opsloom.session import cut_lineage
 from opsloom.sources.tables import read_table
@@ -136,34 +137,52 @@ def k_hop_neighborhood(spark, sf_dir):
     return out.select("query_id", "src", "tgt", "type", F.round("score", 4).alias("score"))
 
 
-def _strong(spark, sf_dir):
-    """Edges at least as heavy as the mean of their kind: sparse enough to fall into communities."""
-    edges = cut_lineage(_edges(spark, sf_dir)[0].select(*gr.EDGE_KEY, "weight"))
-    mean = edges.groupBy("type").agg(F.avg("weight").alias("m"))
-    return edges.join(mean, "type").filter("weight >= m").drop("m")
+def _weighted(spark, sf_dir):
+    return cut_lineage(_edges(spark, sf_dir)[0].select(*gr.EDGE_KEY, "weight"))
 
 
 @query("communities")
 def communities(spark, sf_dir):
-    return gr.communities(_strong(spark, sf_dir))
+    return modular_communities(_weighted(spark, sf_dir))
+
+
+@query("label_communities")
+def label_communities(spark, sf_dir):
+    return gr.communities(_weighted(spark, sf_dir))
+
+
+# The modularity of the partition into kinds of nodes: fixed by the edges, so SQL can say it.
+@query(
+    "modularity",
+    "WITH " + MENTIONS_SQL + """, ends AS (SELECT u AS node, v AS nbr, weight FROM und UNION ALL SELECT v, u, weight FROM und),
+    lab AS (SELECT node, substr(node, 1, 1) AS label FROM (SELECT DISTINCT node FROM ends)),
+    per AS (SELECT a.label, sum(weight) AS degree, sum(CASE WHEN a.label = b.label THEN weight ELSE 0 END) AS inside
+      FROM ends JOIN lab a ON a.node = ends.node JOIN lab b ON b.node = ends.nbr GROUP BY 1)
+    SELECT count(*) AS communities, round(sum(inside) / sum(degree) - sum(degree * degree) / (sum(degree) * sum(degree)), 9) AS modularity FROM per""",
+)
+def modularity_query(spark, sf_dir):
+    links = _weighted_links(_weighted(spark, sf_dir))
+    labels = cut_lineage(links.select("node").distinct().withColumn("label", F.substring("node", 1, 1)))
+    value = modularity(links, labels)
+    return labels.agg(F.countDistinct("label").alias("communities")).withColumn("modularity", F.round(F.lit(value), 9))
 
 
 @query("community_inputs")
 def community_inputs(spark, sf_dir):
     nodes, provenance = gr.resolve_entities(_name_mentions(spark, sf_dir))
-    strong = _strong(spark, sf_dir)
-    members = gr.community_members(gr.communities(strong), provenance, nodes, top=20)
-    return gr.community_facts(cut_lineage(members), strong).select("community", "src", "tgt", "type", "rank")
+    edges = _weighted(spark, sf_dir)
+    members = gr.community_members(modular_communities(edges), provenance, nodes, top=20)
+    return gr.community_facts(cut_lineage(members), edges).select("community", "src", "tgt", "type", "rank")
 
 
 @query("save_communities")
 def save_communities(spark, sf_dir):
-    return gr.membership_edges(gr.communities(_strong(spark, sf_dir)))
+    return gr.membership_edges(modular_communities(_weighted(spark, sf_dir)))
 
 
 @query("shortest_paths")
 def shortest_paths(spark, sf_dir):
-    """How the nations reach the part types their suppliers deliver, along the strong links only."""
+    """How the nations reach the part types their suppliers deliver."""
     read = lambda name: read_table(spark, sf_dir, name)
     delivered = (
         read("lineitem")
@@ -173,7 +192,7 @@ def shortest_paths(spark, sf_dir):
         .select(F.lower("n_name").alias("start"), F.lower("p_type").alias("goal"))
         .distinct()
     )
-    paths = gr.shortest_paths(_strong(spark, sf_dir), delivered)
+    paths = gr.shortest_paths(_weighted(spark, sf_dir), delivered)
     return paths.select("start", "goal", F.array_join("path", ">").alias("path"))
 
 

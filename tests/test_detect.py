@@ -125,3 +125,18 @@ def test_tails_at_scale():
         assert math.isclose(binomial_tail(k, n, p), exact, rel_tol=1e-8)
     assert 0.45 < binomial_tail(300_000_000, 10**9, 0.3) < 0.55
     assert 0.45 < poisson_tail(10**9, 1e9) < 0.55
+
+
+def test_column_tails_of_any_size(spark):
+    rows = [(k, float(lam)) for lam in (0.001, 0.7, 4, 31.5, 1000, 12345.6, 1e6, 1e9) for k in {
+        1, 2, 5, 20, 21, 22, 40, *(max(1, int(lam + d * math.sqrt(lam))) for d in (-30, -6, -1, 0, 1, 3, 6, 12)), 2 * int(lam) + 1}]
+    for r in spark.createDataFrame(rows, "k bigint, lam double").withColumn("v", poisson_sf(F.col("k"), F.col("lam"))).collect():
+        want = poisson_tail(r.k, r.lam)
+        # The helper's front factor alone loses digits beyond 10^6.
+        assert math.isclose(r.v, want, rel_tol=1e-8 if r.lam <= 1e5 else 3e-5, abs_tol=1e-280), (r, want)
+    assert poisson_tail(2000, 1000.0) < 1e-100
+    rows = [(k, n, p) for n in (1, 2, 10, 21, 22, 300, 20000, 10**6, 10**9) for p in (1e-6, 0.002, 0.1, 0.5, 0.93) for k in {
+        1, n, *(min(n, max(1, int(n * p + d * math.sqrt(n * p * (1 - p) + 1)))) for d in (-9, -2, 0, 1, 4, 9))}]
+    for r in spark.createDataFrame(rows, "k bigint, n bigint, p double").withColumn("v", binom_sf(F.col("k"), F.col("n"), F.col("p"))).collect():
+        want = binomial_tail(r.k, r.n, r.p)
+        assert math.isclose(r.v, want, rel_tol=1e-7 if r.n <= 1e5 else 3e-5, abs_tol=1e-280), (r, want)
