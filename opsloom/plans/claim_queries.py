@@ -508,10 +508,10 @@ def _events(decisions):
 LEDGER_SQL = (
     DECISIONS_SQL
     + f""", ev AS (SELECT claim_id, '1999-01-01T00:00:' || lpad(CAST(claim_id % 60 AS VARCHAR), 2, '0') AS ts, outcome FROM outcomes),
-e1 AS (SELECT 1 AS seq, *, sha256('{lg.GENESIS}' || chr(31) || ts || chr(31) || claim_id || chr(31) || 'rules' || chr(31) || 'adjudicated'
-  || chr(31) || '{{"outcome":"' || outcome || '"}}') AS hash FROM ev),
-e2 AS (SELECT 2 AS seq, claim_id, ts, outcome, sha256(hash || chr(31) || ts || chr(31) || claim_id || chr(31) || 'kim' || chr(31)
-  || 'human_decision' || chr(31) || '{{"line":"1"}}') AS hash FROM e1 WHERE outcome = 'pended_for_review' AND claim_id % 2 = 1),
+e1 AS (SELECT 1 AS seq, *, sha256('64:{lg.GENESIS}' || strlen(ts) || ':' || ts || length(CAST(claim_id AS VARCHAR)) || ':' || claim_id || '5:rules'
+  || '11:adjudicated' || (strlen(outcome) + 14) || ':{{"outcome":"' || outcome || '"}}') AS hash FROM ev),
+e2 AS (SELECT 2 AS seq, claim_id, ts, outcome, sha256('64:' || hash || strlen(ts) || ':' || ts || length(CAST(claim_id AS VARCHAR)) || ':' || claim_id
+  || '3:kim' || '14:human_decision' || '12:{{"line":"1"}}') AS hash FROM e1 WHERE outcome = 'pended_for_review' AND claim_id % 2 = 1),
 ledger AS (SELECT * FROM e1 UNION ALL SELECT * FROM e2)"""
 )
 
@@ -541,6 +541,37 @@ def chain_verify(spark, sf_dir):
     return lg.verify_chains(_ledger(spark, sf_dir).withColumn("payload", tampered))
 
 
+SEAL_SQL = (
+    LEDGER_SQL
+    + """, tails AS (SELECT claim_id, max(seq) AS seq, max_by(hash, seq) AS hash FROM ledger GROUP BY 1),
+leaves AS (SELECT sha256(CAST(claim_id AS VARCHAR)) AS name,
+  sha256(length(CAST(claim_id AS VARCHAR)) || ':' || claim_id || '1:' || seq || '64:' || hash) AS hash FROM tails),
+n2 AS (SELECT left(name, 2) AS name, sha256(string_agg('64:' || name || '64:' || hash, '' ORDER BY name)) AS hash FROM leaves GROUP BY 1),
+n1 AS (SELECT left(name, 1) AS name, sha256(string_agg('2:' || name || '64:' || hash, '' ORDER BY name)) AS hash FROM n2 GROUP BY 1),
+n0 AS (SELECT '' AS name, sha256(string_agg('1:' || name || '64:' || hash, '' ORDER BY name)) AS hash FROM n1)"""
+)
+
+
+@query("ledger_seal", f"WITH {SEAL_SQL} SELECT 2 AS level, name AS prefix, hash FROM n2 UNION ALL SELECT 1, name, hash FROM n1 UNION ALL SELECT 0, name, hash FROM n0")
+def ledger_seal(spark, sf_dir):
+    """The Merkle tree over all chains, two hex digits deep."""
+    return lg.seal(lg.chain_tails(_ledger(spark, sf_dir)), 2)
+
+
+@query(
+    "ledger_removed",
+    f"""WITH {LEDGER_SQL} SELECT CAST(claim_id AS VARCHAR) AS chain, CASE WHEN claim_id % 17 = 0 THEN 'missing' ELSE 'cut' END AS state FROM ledger
+    WHERE claim_id % 17 = 0 OR (seq = 2 AND claim_id % 13 = 0) GROUP BY claim_id""",
+)
+def ledger_removed(spark, sf_dir):
+    """A ledger is sealed; then every 17th claim and the second event of every 13th are taken away."""
+    rows = cut_lineage(_ledger(spark, sf_dir))
+    sealed = cut_lineage(lg.chain_tails(rows))
+    number = F.col("claim_id").cast("bigint")
+    left = rows.filter((number % 17 != 0) & ~((F.col("seq") == 2) & (number % 13 == 0)))
+    return lg.check_against_seal(left, sealed)
+
+
 @query(
     "pending_review_queue",
     f"""WITH {DECISIONS_SQL} SELECT CAST(claim_id AS VARCHAR) AS claim_id FROM outcomes WHERE outcome = 'pended_for_review' AND claim_id % 2 = 0""",

@@ -180,7 +180,14 @@ def save_communities(spark, sf_dir):
     return gr.membership_edges(modular_communities(_weighted(spark, sf_dir)))
 
 
-@query("shortest_paths")
+# A nation sells brands and a brand comes in types, so every such path has two links.
+@query(
+    "shortest_paths",
+    "WITH " + MENTIONS_SQL + """, d AS (SELECT DISTINCT lower(n_name) AS start, lower(p_type) AS goal FROM lineitem JOIN part ON l_partkey = p_partkey
+      JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)
+    SELECT start, goal, min(start || '>' || a.nbr || '>' || goal) AS path FROM d JOIN nb a ON a.node = start
+    JOIN nb b ON b.node = a.nbr AND b.nbr = goal GROUP BY ALL""",
+)
 def shortest_paths(spark, sf_dir):
     """How the nations reach the part types their suppliers deliver."""
     read = lambda name: read_table(spark, sf_dir, name)

@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from opsloom.operators import claims as cl
 from opsloom.operators import ledger as lg
 
@@ -199,3 +201,35 @@ def test_ledger_with_null_fields_verifies(spark):
     chained = ledger.append_events(rows)
     assert {tuple(r) for r in ledger.verify_chains(chained).collect()} == {("c1", True, None), ("c2", True, None)}
     assert chained.select("hash").distinct().count() == 3
+
+
+def test_no_two_events_share_a_digest(spark):
+    """Texts with separators, digits and colons at the fields' borders, and nulls, never look alike."""
+    parts = ["a", "b", "", None, "a\x1fb", "1:a", "~", "é", "\x00"]
+    rows = [(1, "t", f"c{i}", x, y, "p") for i, (x, y) in enumerate((x, y) for x in parts for y in parts)]
+    df = spark.createDataFrame(rows, "seq_in int, ts string, claim_id string, actor string, event string, payload string")
+    one = df.withColumn("claim_id", F.lit("same"))
+    digests = [r.h for r in one.select(lg.event_digest(F.lit(lg.GENESIS)).alias("h")).collect()]
+    assert len(set(digests)) == len(rows)
+    assert lg.verify_chains(lg.append_events(df)).filter("not ok").count() == 0
+
+
+def test_seal_proofs_and_what_is_missing(spark):
+    rows = [(i, "t", f"c{i % 40}", "a", "e", str(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "seq_in int, ts string, claim_id string, actor string, event string, payload string")
+    ledger = lg.append_events(df).cache()
+    tails = lg.chain_tails(ledger).cache()
+    for levels in (0, 1, 3):
+        nodes = lg.seal(tails, levels).cache()
+        root = nodes.filter("level = 0").first().hash
+        proofs = lg.inclusion_proofs(tails, nodes, tails.filter("chain in ('c1', 'c7')"))
+        assert {(r.chain, r.holds) for r in lg.proofs_hold(proofs, tails, root).collect()} == {("c1", True), ("c7", True)}
+        forged = tails.withColumn("hash", F.when(F.col("chain") == "c7", F.lit("0" * 64)).otherwise(F.col("hash")))
+        assert {(r.chain, r.holds) for r in lg.proofs_hold(proofs, forged, root).collect()} == {("c1", True), ("c7", False)}
+        assert not any(r.holds for r in lg.proofs_hold(proofs, tails, "1" * 64).collect())
+        assert lg.seal(tails.filter("chain <> 'c3'"), levels).filter("level = 0").first().hash != root
+    assert lg.seal(tails.filter("false"), 2).collect()[0].hash == lg.seal(tails.filter("false"), 1).filter("level = 0").first().hash
+    bad = ledger.filter("claim_id <> 'c3' and not (claim_id = 'c5' and seq = 3)").withColumn(
+        "hash", F.when((F.col("claim_id") == "c9") & (F.col("seq") == 3), "x").otherwise(F.col("hash")))
+    assert {tuple(r) for r in lg.check_against_seal(bad, tails).collect()} == {("c3", "missing"), ("c5", "cut"), ("c9", "changed")}
+    assert lg.check_against_seal(ledger, tails).count() == 0
