@@ -14,7 +14,6 @@ from opsloom.operators.graph import collapse_edges
 from opsloom.session import cut_lineage
 
 _FEWEST = 16  # a sixteenth of the nodes moves at least
-_RISE = 1e-7
 
 
 def _weighted_links(edges: DataFrame) -> DataFrame:
@@ -56,7 +55,7 @@ def _wishes(links: DataFrame, state: DataFrame, total: float, resolution: float)
     )
 
 
-def _one_level(links: DataFrame, resolution: float) -> tuple[DataFrame, bool]:
+def _one_level(links: DataFrame, resolution: float, rise: float) -> tuple[DataFrame, bool]:
     """(node, label) when no move helps any more, and whether any node moved."""
     degree = links.groupBy("node").agg(F.sum("weight").alias("degree"))
     state = cut_lineage(degree.select("node", F.col("node").alias("label"), "degree"))
@@ -71,7 +70,7 @@ def _one_level(links: DataFrame, resolution: float) -> tuple[DataFrame, bool]:
             step += 1
             moved = cut_lineage(wishes.select("node", F.when(mover, F.col("best")).otherwise(F.col("label")).alias("label"), "degree"))
             new = modularity(links, moved, resolution)
-            if new > score + _RISE:
+            if new > score + rise:
                 state, score, any_moved = moved, new, True
                 break
             parts *= 2
@@ -79,17 +78,18 @@ def _one_level(links: DataFrame, resolution: float) -> tuple[DataFrame, bool]:
 
 
 def modular_communities(
-    edges: DataFrame, min_size: int = 1, top: int | None = None, resolution: float = 1.0
+    edges: DataFrame, min_size: int = 1, top: int | None = None, resolution: float = 1.0,
+    rise: float = 1e-4,
 ) -> DataFrame:
     """(community, node, size) of the partition that local moves and contraction find, largest communities first.
 
     edges (src, tgt, weight, ...) are taken as undirected, parallel ones added up, loops left out. A community is named
-    by its smallest node. `min_size` and `top` drop nothing unless set. No edges: no rows.
+    by its smallest node. A round that raises the modularity by `rise` or less ends its level. `min_size` and `top` drop nothing unless set. No edges: no rows.
     """
     links = cut_lineage(_weighted_links(edges))
     members = links.select("node").distinct().withColumn("label", F.col("node"))
     while not links.isEmpty():
-        labels, moved = _one_level(links, resolution)
+        labels, moved = _one_level(links, resolution, rise)
         if not moved:
             break
         members = cut_lineage(

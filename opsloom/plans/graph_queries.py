@@ -146,11 +146,6 @@ def communities(spark, sf_dir):
     return modular_communities(_weighted(spark, sf_dir))
 
 
-@query("label_communities")
-def label_communities(spark, sf_dir):
-    return gr.communities(_weighted(spark, sf_dir))
-
-
 # The modularity of the partition into kinds of nodes: fixed by the edges, so SQL can say it.
 @query(
     "modularity",

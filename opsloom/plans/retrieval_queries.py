@@ -381,9 +381,7 @@ def union_contexts(spark, sf_dir):
 
 @query("relevant_sections")
 def relevant_sections(spark, sf_dir):
-    """Documents as policy sections, conversations as claims with notes, languages as cited sections."""
-    from pyspark.sql import Window
-
+    """Documents as policy sections, conversations as claims whose notes are all assistant turns."""
     docs = read_table(spark, sf_dir, "documents")
     sections = docs.select(F.col("doc_id").cast("string").alias("section_id"), F.col("source").alias("title"), "text")
     turns = read_table(spark, sf_dir, "conversations")
@@ -391,8 +389,7 @@ def relevant_sections(spark, sf_dir):
         F.col("conv_id").alias("claim_id"), F.lit("coding").alias("reviewer"),
         F.col("conv_id").cast("string").alias("policy_section"), F.col("turn").alias("seq"), F.col("text").alias("message"),
     )
-    first = Window.partitionBy("conv_id").orderBy("turn")
-    notes = turns.filter("role = 'assistant'").withColumn("n", F.row_number().over(first)).filter("n = 1").select(
-        F.col("conv_id").alias("claim_id"), F.col("text").alias("clinical_note")
+    notes = turns.filter("role = 'assistant'").groupBy(F.col("conv_id").alias("claim_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), " ").alias("clinical_note")
     )
     return rt.relevant_sections(findings, notes, sections, head=None)

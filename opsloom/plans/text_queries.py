@@ -397,7 +397,8 @@ def args_hash(spark, sf_dir):
 @query(
     "criterion_match",
     f"""WITH crit AS (SELECT item_id, list_distinct({tokens_sql('text', tx.NOTE)}) AS c FROM (
-        SELECT item_id, split_part(text, '.', 1) AS text FROM benchmark)),
+        SELECT b.item_id || ':' || n AS item_id, string_split(text, '.')[n + 1] AS text
+        FROM benchmark b, range(len(string_split(text, '.'))) r(n))),
     sent AS (SELECT conv_id, turn, unnest(range(1, len(s) + 1)) AS pos, s FROM (
         SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(replace(text, chr(10), ' '), '([.!?])\\s+', '\\1' || chr(30), 'g'), chr(30)),
         lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM conversations)),
@@ -408,7 +409,9 @@ def args_hash(spark, sf_dir):
 def criterion_match(spark, sf_dir):
     from opsloom.operators.retrieve import criterion_match as match
 
-    criteria = read_table(spark, sf_dir, "benchmark").select("item_id", F.split("text", r"\.", 2)[0].alias("criterion"))
+    # Every sentence of an item is a criterion of its own.
+    sentences = read_table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"\.")).alias("n", "criterion"))
+    criteria = sentences.select(F.concat_ws(":", "item_id", "n").alias("item_id"), "criterion")
     notes = read_table(spark, sf_dir, "conversations")
     return match(notes, ["conv_id", "turn"], "text", criteria, "item_id", "criterion").select(
         "item_id", "conv_id", "turn", "pos"

@@ -155,3 +155,14 @@ def test_pii_prefilter_loses_nothing(spark):
     for row in df.collect():
         assert [h.asDict() for h in row.hits] == pii.find_hits(row.t)
     assert [h["kind"] for h in pii.find_hits(parts[0])] == ["CREDIT_CARD"]
+
+
+def test_the_prefilter_loses_nothing(spark):
+    """Every character that the patterns take for white space or a digit passes the filter before them."""
+    from opsloom.functions import pii
+
+    odd = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000 and (chr(c).isspace() or chr(c).isdecimal())]
+    texts = [f"bearer{c}{'x1' * 13}" for c in odd] + [f"{c}23-45-6789" for c in odd] + ["bearer " + "x1" * 13]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.withColumn("h", pii.pii_scan(F.col("t"))).collect():
+        assert [tuple(h) for h in r.h] == [(h["kind"], h["start"], h["end"]) for h in pii.find_hits(r.t)], repr(r.t)
