@@ -491,3 +491,22 @@ def test_pipeline_stages(spark):
         assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
         docs = kept
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).select("doc_id").distinct().count() == docs.count()
+
+
+def test_pipeline_stages_with_clashing_columns_and_without_rows(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = docs
+    names = "n_words _host bad host_rate items spans _text _gone _row row_key gone doc n_lines n_removed _set _first _n set_key first_key kept base_failed contaminated"
+    for name in names.split():
+        odd = odd.withColumn(name, F.lit(7))
+    odd = components.stored(odd, "odd")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, more = stage(spark, docs, folder), stage(spark, odd, folder)
+        assert more.columns == odd.columns
+        assert pairs(more, *docs.columns) == pairs(plain, *docs.columns)
+        assert more.filter("n_words <> 7 or n_lines <> 7 or _set <> 7 or kept <> 7").count() == 0
+        none = stage(spark, docs.filter("false"), folder)
+        assert none.columns == docs.columns and none.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.filter("false"), folder).count() == 0
