@@ -233,3 +233,15 @@ def test_seal_proofs_and_what_is_missing(spark):
         "hash", F.when((F.col("claim_id") == "c9") & (F.col("seq") == 3), "x").otherwise(F.col("hash")))
     assert {tuple(r) for r in lg.check_against_seal(bad, tails).collect()} == {("c3", "missing"), ("c5", "cut"), ("c9", "changed")}
     assert lg.check_against_seal(ledger, tails).count() == 0
+
+
+def test_authorizations_are_never_broadcast(spark):
+    """Exploded rows are told as few; a broadcast of them would pass through the driver."""
+    t = _tables(spark, [_claim("mri", auth="A1"), _claim("late", auth="A1", service=D(2025, 1, 1)), _claim("none")], [
+        ("mri", 1, "70553", 1, 900.0, []), ("late", 1, "70553", 1, 900.0, []), ("none", 1, "70553", 1, 900.0, []),
+    ])
+    missing = cl.prior_auth(t)
+    plan = missing._jdf.queryExecution().executedPlan().toString()
+    anti = [line for line in plan.splitlines() if "LeftAnti" in line]
+    assert anti and not any("Broadcast" in line for line in anti)
+    assert {r.claim_id for r in missing.collect()} == {"late", "none"}
