@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsloom.operators.graph import collapse_edges
-from opsloom.session import cut_lineage
+from opsloom.session import stored
 
 _FEWEST = 16  # a sixteenth of the nodes moves at least
 
@@ -58,17 +58,17 @@ def _wishes(links: DataFrame, state: DataFrame, total: float, resolution: float)
 def _one_level(links: DataFrame, resolution: float, rise: float) -> tuple[DataFrame, bool]:
     """(node, label) when no move helps any more, and whether any node moved."""
     degree = links.groupBy("node").agg(F.sum("weight").alias("degree"))
-    state = cut_lineage(degree.select("node", F.col("node").alias("label"), "degree"))
+    state = stored(degree.select("node", F.col("node").alias("label"), "degree"))
     total = state.agg(F.sum("degree")).first()[0]
     score, parts, step, any_moved = modularity(links, state, resolution), 2, 0, False
     while parts <= _FEWEST:
-        wishes = cut_lineage(_wishes(links, state, total, resolution))
+        wishes = stored(_wishes(links, state, total, resolution))
         if wishes.filter("best <> label").isEmpty():
             break
         while parts <= _FEWEST:
             mover = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(parts)) == 0
             step += 1
-            moved = cut_lineage(wishes.select("node", F.when(mover, F.col("best")).otherwise(F.col("label")).alias("label"), "degree"))
+            moved = stored(wishes.select("node", F.when(mover, F.col("best")).otherwise(F.col("label")).alias("label"), "degree"))
             new = modularity(links, moved, resolution)
             if new > score + rise:
                 state, score, any_moved = moved, new, True
@@ -86,18 +86,18 @@ def modular_communities(
     edges (src, tgt, weight, ...) are taken as undirected, parallel ones added up, loops left out. A community is named
     by its smallest node. A round that raises the modularity by `rise` or less ends its level. `min_size` and `top` drop nothing unless set. No edges: no rows.
     """
-    links = cut_lineage(_weighted_links(edges))
+    links = stored(_weighted_links(edges))
     members = links.select("node").distinct().withColumn("label", F.col("node"))
     while not links.isEmpty():
         labels, moved = _one_level(links, resolution, rise)
         if not moved:
             break
-        members = cut_lineage(
+        members = stored(
             members.join(labels.select(F.col("node").alias("label"), F.col("label").alias("to")), "label").select("node", F.col("to").alias("label"))
         )
         # Each community becomes a node; the weight inside it, both ways, becomes its link with itself.
         inner = links.join(labels, "node").join(labels.select(F.col("node").alias("nbr"), F.col("label").alias("other")), "nbr")
-        links = cut_lineage(inner.groupBy(F.col("label").alias("node"), F.col("other").alias("nbr")).agg(F.sum("weight").alias("weight")))
+        links = stored(inner.groupBy(F.col("label").alias("node"), F.col("other").alias("nbr")).agg(F.sum("weight").alias("weight")))
     sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("community"))
     kept = sizes.filter(F.col("size") >= min_size)
     if top is not None:

@@ -66,3 +66,12 @@ def test_ring_of_cliques_and_details(spark):
     assert mo.modular_communities(edges_of(spark, rows), top=3).count() == 15
     assert mo.modular_communities(edges_of(spark, rows), min_size=6).count() == 0
     assert mo.modular_communities(edges_of(spark, []).filter(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("find", [mo.modular_communities, gr.communities])
+def test_rounds_do_not_feed_on_estimated_sizes(spark, find):
+    """A size estimated as a product, handed on round by round, doubles its digits each time and stops the planning."""
+    found = find(edges_of(spark, planted(3)))
+    size = found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size < 2**100
+    assert found.count() == 48
