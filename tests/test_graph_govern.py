@@ -189,3 +189,24 @@ def test_unique_append(spark):
     new = spark.createDataFrame([("p", "t", None, "cost", "new"), ("p", "t", "s", "cost", "b"), ("p", "t", "s", "cost", "a")], s)
     out = sinks.insert_unique(stored, new, ["project_id", "trace_id", "span_id", "policy"], ["message"])
     assert {(r.span_id, r.message) for r in out.collect()} == {(None, "old"), ("s", "a")}
+
+
+def test_explore_entity_makes_its_tables_once(spark):
+    seen = {name: spark.sparkContext.accumulator(0) for name in ("nodes", "edges")}
+
+    def counted(df, name):
+        def go(batches):
+            for batch in batches:
+                seen[name].add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(go, df.schema)
+
+    nodes = counted(spark.createDataFrame([("acme",), ("acme labs",), ("bolt",)], "key string"), "nodes")
+    edges = counted(
+        spark.createDataFrame([("acme", "bolt", "MAKES", 2.0), ("bolt", "acme labs", "IN", 1.0)], "src string, tgt string, type string, weight double"),
+        "edges",
+    )
+    facts = {(r.src, r.tgt, r.score) for r in gr.explore_entity("Acme", nodes, edges).collect()}
+    assert facts == {("acme", "bolt", 2.0), ("bolt", "acme labs", 0.5)}
+    assert (seen["nodes"].value, seen["edges"].value) == (3, 2)
