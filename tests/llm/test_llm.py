@@ -510,3 +510,19 @@ def test_pipeline_stages_with_clashing_columns_and_without_rows(spark):
         none = stage(spark, docs.filter("false"), folder)
         assert none.columns == docs.columns and none.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.filter("false"), folder).count() == 0
+
+
+def test_near_lines_at_the_limit_are_all_found(spark):
+    """Edits spread evenly leave single blocks whole; a word that repeats moves a SimHash by more than as many others."""
+    rows = []
+    for i in range(300):
+        tag = "".join(chr(97 + i // 26**k % 26) for k in range(3))
+        pair = [" ".join(f"{tag}{chr(97 + j)}" + (side if j % 5 == 4 else "") for j in range(24)) for side in ("", "z")]
+        rows += [(2 * i, pair[0]), (2 * i + 1, pair[1])]
+    for i in range(300, 312):
+        tag = "".join(chr(97 + i // 26**k % 26) for k in range(3))
+        pair = [" ".join(side if j % 5 == 4 else f"{tag}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(100)) for side in (tag + "x", tag + "y")]
+        rows += [(2 * i, pair[0]), (2 * i + 1, pair[1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    gone = {r.doc_id for r in lines.dedup_lines(df).collect() if r.n_removed}
+    assert gone == {2 * i + 1 for i in range(312)}
