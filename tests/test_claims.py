@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from opsloom.operators import claims as cl
 from opsloom.operators import ledger as lg
+from tests.conftest import rows
 
 D = dt.date
 CLAIM = (
@@ -245,3 +246,52 @@ def test_authorizations_are_never_broadcast(spark):
     anti = [line for line in plan.splitlines() if "LeftAnti" in line]
     assert anti and not any("Broadcast" in line for line in anti)
     assert {r.claim_id for r in missing.collect()} == {"late", "none"}
+
+
+def _broadcast_joins(df):
+    """Join lines of the plan that broadcast a side, without those on a code, whose table does not grow with the claims."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return [x for x in lines if "Broadcast" in x and "Join" in x and "[cpt#" not in x]
+
+
+def test_claim_joins_never_broadcast_what_grows(spark):
+    t = _tables(spark, [_claim("a", auth="A1"), _claim("b")], [
+        ("a", 1, "70553", 1, 900.0, []), ("a", 2, "99213", 1, 90.0, []), ("b", 1, "70553", 1, 900.0, []),
+    ])
+    found = cl.evaluate_rules(t)
+    routed = cl.review_routing(found)
+    reviews = spark.createDataFrame(
+        [("a", "R011", 1, "coding", "uphold", 0.9, "seen", [])],
+        "claim_id string, rule_id string, line_no int, reviewer string, resolution string, confidence double, rationale string, validation_errors array<string>",
+    )
+    decisions = cl.adjudicate(t.lines, found, reviews)
+    human = spark.createDataFrame([("a", 1, "pay", "kim", "ok")], "claim_id string, line_no int, outcome string, reviewer string, note string")
+    final, problems = cl.apply_human_decisions(decisions, human)
+    for made in (found, routed, decisions, final, problems, cl.decision_summary(decisions)):
+        assert _broadcast_joins(made) == []
+    assert len(rows(cl.claim_outcome(decisions))) == 2
+
+
+def test_ledger_joins_never_broadcast(spark):
+    event = lambda c, n, kind, body: (n, "t", c, "rules", kind, body)
+    new = spark.createDataFrame(
+        [event("c1", 1, "adjudicated", '{"outcome":"pended_for_review"}'), event("c2", 1, "adjudicated", '{"outcome":"denied"}'),
+         event(None, 1, "adjudicated", '{"outcome":"denied"}')],
+        "seq_in int, ts string, claim_id string, actor string, event string, payload string",
+    )
+    ledger = lg.append_events(new)
+    assert "Join" not in ledger._jdf.queryExecution().executedPlan().toString()
+    assert {(r.claim_id, r.seq, r.prev_hash) for r in ledger.collect()} == {(c, 1, lg.GENESIS) for c in ("c1", "c2", None)}
+    ids = ledger.select("claim_id")
+    made = [lg.pending_claims(ledger), lg.audit_trail(ledger, ids), lg.check_against_seal(ledger, lg.chain_tails(ledger)),
+            lg.append_events(new, ledger)]
+    assert [_broadcast_joins(m) for m in made] == [[]] * 4
+    assert rows(made[0]) == [("c1",)]
+
+
+def test_summaries_leave_out_lines_without_a_claim(spark):
+    made = spark.createDataFrame(
+        [("a", 2, "P2", "deny", 0, ["x"]), ("a", 1, "P1", "pay", 1, []), (None, 1, "P1", "pay", 1, [])],
+        "claim_id string, line_no int, cpt string, outcome string, allowed_units bigint, reasons array<string>",
+    )
+    assert rows(cl.decision_summary(made)) == [("a", "Claim a: partially approved. line 1 P1: pay; line 2 P2: deny (x)")]
