@@ -166,3 +166,32 @@ def test_the_prefilter_loses_nothing(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     for r in df.withColumn("h", pii.pii_scan(F.col("t"))).collect():
         assert [tuple(h) for h in r.h] == [(h["kind"], h["start"], h["end"]) for h in pii.find_hits(r.t)], repr(r.t)
+
+
+def test_exploded_terms_are_the_tokens(spark):
+    texts = ["The bus stops: cities, glass, analysis as studies gas his a-b.c-ds", "", None, "is this Us ties dies toes SES ies ss s list"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for dialect in (tx.CORPUS, tx.QUESTION, tx.NOTE):
+        want = df.select("id", F.explode(tx.tokenize(F.col("text"), dialect)).alias("term"))
+        got = tx.explode_terms(df, "text", dialect)
+        assert got.columns == ["id", "term"]
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+    words = "bus stops cities glass analysis studies gas ties toes".split()
+    stems = F.transform(F.array(*[F.lit(w) for w in words]), lambda w: tx.stem(w, "corpus"))
+    assert _one(spark, stems) == ["bus", "stop", "city", "glass", "analysis", "study", "gas", "ties", "toes"]
+    assert _one(spark, tx.stem(F.lit("buses"), "question")) == "buse" and _one(spark, tx.stem(F.lit("ies"), "question")) == "ies"
+
+
+def test_bm25_blocks_agree_and_pairs_stay_with_their_document(spark):
+    """Rows of one key are one document; rows without a key count in the idf but have no score."""
+    d = spark.createDataFrame(
+        [(1, "red apple"), (1, "red pie"), (2, "green apple"), (None, "red stone"), (3, "stone bridge"), (4, None), (5, "blue boat")],
+        "id int, text string",
+    )
+    q = spark.createDataFrame([(10, "red apple"), (11, "bridge apple apple"), (12, "boat"), (None, "stone")], "query_id int, text string")
+    whole = rt.bm25_scores(d, q, "id", "text", "text")
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange hashpartitioning(query_id" in line for line in plan.splitlines())
+    rows = lambda df: {(r.query_id, r.id, round(r.score, 9)) for r in df.collect()}
+    assert rows(whole) == rows(rt.bm25_scores(d, q, "id", "text", "text", block=2))
+    assert {x[:2] for x in rows(whole)} == {(10, 1), (10, 2), (11, 1), (11, 2), (11, 3), (12, 5), (None, 3)}
