@@ -28,6 +28,11 @@ def resolve_policy(projects: DataFrame, overrides: DataFrame, default: Mapping =
     return joined.select("project_id", *[value(n) for n in types])
 
 
+def _to_every_task(policies: DataFrame) -> DataFrame:
+    """One row per project, so small beside its spans; dealing out spans by project would give a large one to one task."""
+    return F.broadcast(policies)
+
+
 def apply_content_policy(spans: DataFrame, policies: DataFrame) -> DataFrame:
     """Redact texts and string attributes before storage and count what was found.
 
@@ -35,7 +40,7 @@ def apply_content_policy(spans: DataFrame, policies: DataFrame) -> DataFrame:
     findings, `allow` keeps everything; without content capture the texts are always dropped.
     """
     wanted = policies.select("project_id", F.col("pii").alias("_mode"), F.col("capture_content").alias("_keep"))
-    rows = spans.join(wanted, "project_id")
+    rows = spans.join(_to_every_task(wanted), "project_id")
     rows = rows.withColumns({f"_h_{c}": pii.pii_scan(F.col(c)) for c in ("input_text", "output_text")})
     # All attribute values of a row are scanned in one call.
     rows = rows.withColumn("_keys", F.map_keys("attributes")).withColumn("_values", F.map_values("attributes"))
@@ -72,9 +77,8 @@ def _check(condition: Column, name: str, severity: Column | str, message: Column
 def span_violations(spans: DataFrame, policies: DataFrame) -> DataFrame:
     """Unapproved models, forbidden tools, token limits and sensitive data, one row each."""
     c = F.col
-    rows = spans.join(
-        policies.select("project_id", "pii", "allowed_models", "forbidden_tools", "max_tokens_per_call"), "project_id"
-    )
+    limits = policies.select("project_id", "pii", "allowed_models", "forbidden_tools", "max_tokens_per_call")
+    rows = spans.join(_to_every_task(limits), "project_id")
     tokens = c("input_tokens") + c("output_tokens")
     kinds = F.array_sort(F.map_keys("pii_found"))
     detail = F.array_join(
@@ -123,7 +127,7 @@ def trace_violations(traces: DataFrame, policies: DataFrame) -> DataFrame:
             F.concat(c("span_count").cast("string"), F.lit(" steps exceed the limit of "), c("max_steps_per_trace").cast("string")),
         ),
     ]
-    found = traces.filter("has_root").join(limits, "project_id").select(
+    found = traces.filter("has_root").join(_to_every_task(limits), "project_id").select(
         "project_id", "trace_id", F.lit(None).cast("string").alias("span_id"), c("start_ns").alias("ts_ns"),
         F.explode(F.array_compact(F.array(*checks))).alias("v"),
     )

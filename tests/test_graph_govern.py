@@ -210,3 +210,26 @@ def test_explore_entity_makes_its_tables_once(spark):
     facts = {(r.src, r.tgt, r.score) for r in gr.explore_entity("Acme", nodes, edges).collect()}
     assert facts == {("acme", "bolt", 2.0), ("bolt", "acme labs", 0.5)}
     assert (seen["nodes"].value, seen["edges"].value) == (3, 2)
+
+
+def test_policies_come_to_the_spans(spark):
+    """Spans dealt out by project would put a large project into one task."""
+    spans = spark.range(4).select(
+        F.lit("a").alias("project_id"), F.col("id").cast("string").alias("span_id"), F.lit("t").alias("trace_id"), F.lit("x").alias("input_text"),
+        F.lit("y").alias("output_text"), F.create_map(F.lit("k"), F.lit("v")).alias("attributes"), F.lit("llm").alias("kind"), F.lit("m").alias("model"),
+        F.lit("t").alias("tool_name"), F.col("id").alias("start_ns"), F.lit(1).alias("input_tokens"), F.lit(1).alias("output_tokens"),
+        F.create_map(F.lit("EMAIL"), F.lit(1)).alias("pii_found"), F.lit(True).alias("has_root"), F.lit(1.0).alias("cost_usd"), F.lit(9).alias("span_count"),
+    )
+    policies = spark.createDataFrame(
+        [("a", "redact", True, ["m"], ["z"], 100, 5.0, 3)],
+        "project_id string, pii string, capture_content boolean, allowed_models array<string>, forbidden_tools array<string>, "
+        "max_tokens_per_call bigint, max_cost_per_trace_usd double, max_steps_per_trace bigint",
+    )
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = [gv.apply_content_policy(spans, policies), gv.span_violations(spans, policies), gv.trace_violations(spans, policies)]
+        assert not any("Exchange hashpartitioning" in m._jdf.queryExecution().executedPlan().toString() for m in made)
+        assert [m.count() for m in made] == [4, 4, 4]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
