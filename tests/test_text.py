@@ -195,3 +195,13 @@ def test_bm25_blocks_agree_and_pairs_stay_with_their_document(spark):
     rows = lambda df: {(r.query_id, r.id, round(r.score, 9)) for r in df.collect()}
     assert rows(whole) == rows(rt.bm25_scores(d, q, "id", "text", "text", block=2))
     assert {x[:2] for x in rows(whole)} == {(10, 1), (10, 2), (11, 1), (11, 2), (11, 3), (12, 5), (None, 3)}
+
+
+def test_equal_documents_rank_by_key(spark):
+    """The words of a text in another order sum to a score that may differ in its last digit."""
+    words = "river bridge stone harbor cable lantern meadow copper violet engine saddle anchor".split()
+    texts = [" ".join(words[i:] + words[:i]) + f" {words[0]}" for i in range(12)]
+    d = spark.createDataFrame([(f"k{i:02d}", t) for i, t in enumerate(texts)] + [(f"z{i}", f"other{i} word") for i in range(40)], "id string, text string")
+    q = spark.createDataFrame([(i, " ".join(words[i:])) for i in range(6)], "query_id int, text string")
+    best = rt.bm25_top_k(d, q, "id", "text", "text", 3).collect()
+    assert sorted((r.query_id, r["rank"], r.id) for r in best) == [(i, n, f"k{n - 1:02d}") for i in range(6) for n in (1, 2, 3)]
