@@ -205,3 +205,33 @@ def test_equal_documents_rank_by_key(spark):
     q = spark.createDataFrame([(i, " ".join(words[i:])) for i in range(6)], "query_id int, text string")
     best = rt.bm25_top_k(d, q, "id", "text", "text", 3).collect()
     assert sorted((r.query_id, r["rank"], r.id) for r in best) == [(i, n, f"k{n - 1:02d}") for i in range(6) for n in (1, 2, 3)]
+
+
+def test_few_shot_pairs_meet_in_tiles(spark, monkeypatch):
+    import itertools
+    import random
+
+    monkeypatch.setattr(rt, "TILE_TOKENS", 120)
+    monkeypatch.setattr(rt, "TILE_WIDE", 3)
+    monkeypatch.setattr(rt, "TILE_WORDS", 2)
+    draw = random.Random(3)
+    words = [f"w{i}x" for i in range(25)]
+    data = [(i, " ".join(draw.choices(words, k=draw.randint(1, 9))), draw.choice(["a", "b", "c"])) for i in range(60)]
+    data += [(60, None, "a"), (61, "", "b"), (62, "w1x w2x", None), (None, "w3x w4x", "a")]
+    train = spark.createDataFrame(data, "id long, text string, sql string")
+    q, e = train.withColumnRenamed("id", "query_id"), train.withColumnRenamed("id", "example_id")
+    made = rt.jaccard_top_k(q, e, 3, exclude_same="sql")
+    # No row is made for each word that two texts share.
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    sets = [(i, set((t or "").split()), s) for i, t, s in data]
+    want = []
+    for i, t, s in sets:
+        near = [(-len(t & u) / len(t | u), (j is not None, j or 0), j) for j, u, z in sets if t & u and s and z and s != z]
+        want += [(i, j, -score, rank) for rank, (score, _, j) in enumerate(sorted(near)[:3], 1)]
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    got = [(r.query_id, r.example_id, r.score, r["rank"]) for r in made.collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    # Without the column every query has its full number, the first ids filling up.
+    full = {i: [r[1] for r in g] for i, g in itertools.groupby(
+        sorted(((r.query_id, r.example_id) for r in rt.jaccard_top_k(q, e, 3).collect()), key=key), lambda r: r[0])}
+    assert {len(x) for x in full.values()} == {3}
