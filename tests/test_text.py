@@ -235,3 +235,18 @@ def test_few_shot_pairs_meet_in_tiles(spark, monkeypatch):
     full = {i: [r[1] for r in g] for i, g in itertools.groupby(
         sorted(((r.query_id, r.example_id) for r in rt.jaccard_top_k(q, e, 3).collect()), key=key), lambda r: r[0])}
     assert {len(x) for x in full.values()} == {3}
+
+
+def test_terms_are_counted_in_one_pass_over_the_texts(spark):
+    """A row holds its document's length; rows of one key, or without one, are one document; words are those of tokenize."""
+    texts = ["The studies and buses, bus. a-1.2 classes gas", None, "", "Ünder caries STUDIES \u212aeys İs s ss 12s.x", "studies ies uses"]
+    data = [(1, texts[0]), (2, texts[1]), (3, texts[2]), (1, texts[3]), (None, texts[4]), (None, texts[0]), (4, "the of and")]
+    data += [(5 + i % 300, f"words{i} tokens the {'buses ' * (i % 5)}") for i in range(900)]
+    df = spark.createDataFrame(data, "id bigint, text string")
+    for dialect in (tx.CORPUS, tx.QUESTION, tx.NOTE):
+        got = rt.term_counts(df, "id", "text", dialect)
+        assert "Window" not in got._jdf.queryExecution().toString()
+        counts = df.select("id", F.explode(tx.tokenize(F.col("text"), dialect)).alias("term")).groupBy("id", "term").count()
+        want = [(*r, sum(x[2] for x in counts_rows if x[0] == r[0])) for counts_rows in [counts.collect()] for r in counts_rows]
+        key = lambda r: (r[0] is None, r[0] or 0, r[1])
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
