@@ -50,6 +50,9 @@ def attribute_map(items: Column) -> Column:
     items = F.coalesce(items, F.array().cast(_ATTRS))
     backwards = F.reverse(items["key"])
     last = F.filter(items, lambda x, i: F.array_position(backwards, x["key"]) == F.size(items) - i)
+    # Each key is looked for among all others only in lists that do repeat one, or have one without a key.
+    plain = F.size(F.array_compact(F.array_distinct(items["key"]))) == F.size(items)
+    last = F.when(plain, items).otherwise(last)
     raw = lambda v: F.coalesce(scalar_value(v), v["arrayValue"], v["kvlistValue"])
     return F.map_from_entries(F.transform(last, lambda x: F.struct(x["key"].alias("key"), raw(x["value"]).alias("value"))))
 

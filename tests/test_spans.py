@@ -1,6 +1,8 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from opsloom.operators import rca
 from opsloom.operators import spans as sp
 from opsloom.operators.series import as_of_state
@@ -120,3 +122,14 @@ def test_pricing(spark):
     assert rows(sp.price_spans(spans, prices).selectExpr("coalesce(model, '-') AS m", "input_tokens", "cost_usd")) == [
         ("-", 9, 0.0), ("m", 0, 0.0), ("m", 1000, 0.006), ("other", 1000, 0.001)
     ]
+
+
+def test_attribute_lists_are_searched_only_where_keys_repeat(spark):
+    """The last of equal keys counts and entries without a key are left out; a list of different keys is taken as it is."""
+    lists = [[("a", "1"), ("b", "2"), ("a", "3")], [("a", "1"), (None, "2")], [(None, "1"), (None, "2"), ("a", "4")], [("b", None), ("a", "1")], [], None]
+    data = [(i, None if x is None else [(k, (v, None, None, None, None, None, None)) for k, v in x]) for i, x in enumerate(lists)]
+    df = spark.createDataFrame(data, f"i int, items {payload._ATTRS}")
+    made = payload.attribute_map(F.col("items"))
+    got = {r.i: r.m for r in df.select("i", made.alias("m")).collect()}
+    assert got == {0: {"b": "2", "a": "3"}, 1: {"a": "1"}, 2: {"a": "4"}, 3: {"b": None, "a": "1"}, 4: {}, 5: {}}
+    assert "array_distinct" in str(made)
