@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from opsloom.functions.stats import binom_sf, poisson_sf
 from opsloom.operators import detect as dt
+from opsloom.operators import spans as sp
 from opsloom.operators.incremental import IncrementalDetector
 from opsloom.plans.catalog import query
 from opsloom.plans.mappings import DAY_NS, PERIOD_NS, SPANS_SQL, TRACES_SQL, spans
 from opsloom.plans.trace_queries import stored_traces
-from opsloom.session import cut_lineage
+from opsloom.session import cut_lineage, stored
 from opsloom.sources.tables import read_table
 from opsloom.streaming.streams import work_folder
 
@@ -368,8 +369,12 @@ def agent_anomalies(detector):
 
 
 def two_runs(spark, sf_dir):
-    """A detector after a run up to the middle of the tables' time and one up to its end."""
-    traces, rows = cut_lineage(stored_traces(spark, sf_dir)), spans(spark, sf_dir)
+    """A detector after a run up to the middle of the tables' time and one up to its end.
+
+    Both tables are written once, as a store holds them: runs read them by column, and spans are not joined anew each time.
+    """
+    rows = stored(spans(spark, sf_dir))
+    traces = stored(sp.trace_measures(rows))
     detector = IncrementalDetector(spark, work_folder(spark, "detection"), PERIOD_NS)
     middle = traces.groupBy("project_id").agg(
         ((F.min("start_ns") + F.max("end_ns")) / 2).cast("bigint").alias("until_ns")

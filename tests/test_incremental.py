@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opsloom.operators import detect as dt
 from opsloom.operators.incremental import IncrementalDetector
+from opsloom.plans import detection_queries
 from opsloom.sources.versions import VersionedTables
 
 W = dt.WINDOW_NS
@@ -91,3 +92,30 @@ def test_versioned_tables(spark, tmp_path):
     with pytest.raises(Exception):
         store.commit({"t": spark.createDataFrame([(9,)], "x int")}, 2)
     assert [r.x for r in store.table("t", "x int").collect()] == [2]
+
+
+def test_two_runs_read_stored_spans(spark, tmp_path, monkeypatch):
+    """Both runs get the same tables, written once: no order line is joined to its order again."""
+    line = [(1, 1, 10, 20, 5.0, 1000.5, 0.09, 0.08, "R", "F"), (1, 2, 11, 21, 6.0, 1001.5, 0.01, 0.0, "N", "O"), (2, 1, 12, 21, 6.0, 1.0, 0.01, 0.0, "N", "O")]
+    names = "l_orderkey bigint, l_linenumber bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double, "
+    spark.createDataFrame(line, names + "l_discount double, l_tax double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 7, "1-URGENT"), (2, 8, "2-HIGH")], "o_orderkey bigint, o_custkey bigint, o_orderpriority string").selectExpr(
+        "*", "timestamp'1995-03-01' AS o_orderdate"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    given = []
+
+    class Detector:
+        def __init__(self, *_):
+            pass
+
+        def run(self, traces, spans, until=None):
+            given.append((traces, spans, until))
+
+    monkeypatch.setattr(detection_queries, "IncrementalDetector", Detector)
+    detection_queries.two_runs(spark, str(tmp_path))
+    assert len(given) == 2 and given[0][2] is not None and given[1][2] is None
+    assert sorted(r.span_id for r in given[1][1].collect()) == ["1-1", "1-2", "2-1"] and given[1][0].count() == 2
+    for traces, spans, _ in given:
+        for table in (traces, spans):
+            assert "Join" not in table._jdf.queryExecution().optimizedPlan().toString() and str(tmp_path) not in "".join(table.inputFiles())
+            assert table.inputFiles()
