@@ -1,3 +1,4 @@
+import dataclasses
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -295,3 +296,41 @@ def test_summaries_leave_out_lines_without_a_claim(spark):
         "claim_id string, line_no int, cpt string, outcome string, allowed_units bigint, reasons array<string>",
     )
     assert rows(cl.decision_summary(made)) == [("a", "Claim a: partially approved. line 1 P1: pay; line 2 P2: deny (x)")]
+
+
+def test_first_two_claims_of_a_key_tell_duplicates(spark):
+    lines = [(c, 1, "99213", 1, 50.0, []) for c in ("A", "B", "C")]
+    t = _tables(spark, [_claim(c) for c in ("A", "B", "C")] + [_claim("D", member=None)], [*lines, ("D", 1, "99213", 1, 50.0, [])])
+    key = ("M1", "1234567893", D(2024, 3, 1), "99213")
+    kind = "member_id string, provider_npi string, service_date date, cpt string, claim_id string, seq bigint"
+
+    def told(*history):
+        found = cl.duplicates(dataclasses.replace(t, history=spark.createDataFrame(list(history), kind)))
+        return {r.claim_id: r.message.split()[-1].rstrip(".") for r in found.collect()}
+
+    history = [(*key, "B", 2), (*key, "B", 1), (*key, "A", 3), (*key, "C", 9), (None, *key[1:], "X", 0)]
+    assert told(*history) == {"A": "B", "B": "A", "C": "B"}
+    # A first claim without a number hides the others.
+    assert told((*key, None, 0), *history) == {}
+    assert told((*key, "A", 1)) == {"B": "A", "C": "A"}
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_findings_lines_and_reviews_are_dealt_out_once(spark):
+    t = _tables(spark, [_claim("A"), _claim("B", npi="1000000004")], [("A", 1, "99215", 1, 50.0, []), ("A", 2, "99213", 1, 50.0, []), ("B", 1, "99215", 1, 50.0, [])])
+    # The history by its key, lines and claims by claim, and the lines by the key.
+    assert _exchanges(cl.duplicates(t)) <= 4
+    evaluated = cl.evaluate_rules(t)
+    findings = spark.createDataFrame(evaluated.collect(), evaluated.schema)
+    reviews = spark.createDataFrame(
+        [("A", 1, "R011", "coding", "uphold", 0.9, "seen", []), ("A", 1, "R010", "coding", "override", 0.9, "other rule", [])],
+        "claim_id string, line_no int, rule_id string, reviewer string, resolution string, confidence double, rationale string, validation_errors array<string>",
+    )
+    decisions = cl.adjudicate(t.lines, findings, reviews)
+    # Findings and reviews by line, claim findings by claim, lines by claim and then by line.
+    assert _exchanges(decisions) <= 5
+    got = {(r.claim_id, r.line_no): (r.outcome, r.decided_by) for r in decisions.collect()}
+    assert got == {("A", 1): ("deny", "agent:coding"), ("A", 2): ("deny", "rules"), ("B", 1): ("deny", "rules")}
