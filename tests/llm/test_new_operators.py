@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opsloom.llm import curve, periodic, prefixes
+from opsloom.llm import curve, lines, periodic, prefixes
 
 SPACES = " \t\n\v\f\r"
 
@@ -268,3 +268,43 @@ def test_curve_packing(spark, tokenizer):
     assert curve.curve_sequences(df.filter("false"), tokenizer).count() == 0
     with pytest.raises(ValueError):
         curve.curve_sequences(df, tokenizer, carry=("doc_id", "length"))
+
+
+# ---- lines that repeat a run
+
+
+def _entries(rows):
+    """Entries of one key: (line, length, place)."""
+    out = np.zeros(len(rows), lines.LINE)
+    line, length, place = (np.array(c, np.uint64) for c in zip(*rows, strict=True))
+    out["k"], out["i"] = 5, line
+    out["v"] = length << np.uint64(51) | place << np.uint64(38)
+    return out[np.lexsort((out["i"], out["v"], out["k"]))]
+
+
+def test_a_line_that_repeats_a_run_is_one_entry_of_its_key(monkeypatch):
+    looked, able = [0], lines._able
+
+    def counted(a, b, *rest):
+        found = able(a, b, *rest)
+        looked[0] += found.size
+        return found
+
+    monkeypatch.setattr(lines, "_able", counted)
+    # Forty lines repeat the run at 300 places each, and one has it far behind theirs.
+    rows = [(1 + n, 1000, 3 * at + n % 2) for n in range(40) for at in range(300)] + [(99, 1000, 1500)]
+    found = lines.by_runs(80)(_entries(rows))
+    assert looked[0] < 100 * 100
+    nodes = {x for pair in found.tolist() for x in pair}
+    assert nodes == set(range(1, 41)) and len(found) >= 39
+    # Their places reach from 0 to 898 and may be 200 apart, so only a run up to place 1098 meets them.
+    near = lines.by_runs(80)(_entries([*rows[:-1], (99, 1000, 1098)]))
+    assert 99 in {x for pair in near.tolist() for x in pair}
+
+
+def test_outer_places_are_kept_with_their_copies():
+    rows = [(1, 50, 4), (1, 50, 8), (1, 50, 12), (1, 50, 12), (2, 60, 7), (3, 60, 1), (3, 60, 2)]
+    left = lines.outer_places(_entries(rows))
+    got = sorted(zip(left["i"].tolist(), (left["v"] >> np.uint64(38) & np.uint64(8191)).tolist(), strict=True))
+    assert got == [(1, 4), (1, 12), (1, 12), (2, 7), (3, 1), (3, 2)]
+    assert len(lines.outer_places(np.zeros(0, lines.LINE))) == 0
