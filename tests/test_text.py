@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from opsloom.functions import pii, scalar, text as tx
@@ -250,3 +253,39 @@ def test_terms_are_counted_in_one_pass_over_the_texts(spark):
         want = [(*r, sum(x[2] for x in counts_rows if x[0] == r[0])) for counts_rows in [counts.collect()] for r in counts_rows]
         key = lambda r: (r[0] is None, r[0] or 0, r[1])
         assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+
+
+def test_score_catalog_deals_questions_out_once(spark):
+    asked = [(1, "Show unit prices of red parts"), (1, "unit prices"), (2, "the net_sales of ACME stores"), (None, "prices"), (3, None), (4, "zz")]
+    catalog = [
+        ("a", "name", "unit_price"), ("a", "name", "unit_price"), ("a", "description", "price of a unit"), ("a", "description", "price of a unit"),
+        ("b", "column", "price unit"), ("b", "column", "part"), ("b", "synonym", "red part"), ("b", "synonym", "ed"), ("b", "value", "acme"),
+        ("c", "value", "CME sto"), ("c", "name", "sale store"), ("c", "synonym", "cme"), (None, "name", "price"), ("d", None, "price"), ("d", "name", None),
+    ]
+    questions = spark.createDataFrame(asked, "question_id int, text string")
+    tables = spark.createDataFrame(catalog, "table_name string, kind string, text string")
+    tokens = lambda text: {w[:-1] if w.endswith("s") and len(w) > 3 else w for w in re.findall("[a-z0-9]+", text.lower())} - {"of", "the", "show", "a"}
+    want, once = Counter(), set()
+    for question, text in asked:
+        for table, kind, item in catalog:
+            if not text or not item or not kind:
+                continue
+            met, low = len(tokens(text) & tokens(item.replace("_", " "))), f" {text.lower()} "
+            if kind == "description":
+                want[question, table] += 0.5 * met
+            elif kind in ("name", "column") and met:
+                once.add((question, table, kind, item))
+            elif len(item) >= 3 and (kind == "synonym" and f" {item.lower()}" in low or kind == "value" and item.lower() in low):
+                want[question, table] += 2.5 if kind == "synonym" else 1.5
+    for question, table, kind, _ in once:
+        want[question, table] += 3.0 if kind == "name" else 1.0
+    want = {k: v for k, v in want.items() if v}
+    for block in (rt.TERM_BLOCK, 2):
+        out = rt.score_catalog(questions, tables, top=9, block=block)
+        got = {(r.question_id, r.table_name): r.score for r in out.collect()}
+        assert got == want and out.count() == len(want)
+    best = {r.question_id: r.table_name for r in rt.score_catalog(questions, tables, top=1, block=2).collect()}
+    assert best == {q: min((t for p, t in want if p == q), key=lambda t: (-want[q, t], t is not None, t or "")) for q in {q for q, _ in want}}
+    # Hits are never shuffled: only the questions are dealt out.
+    plan = rt.score_catalog(questions, tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
