@@ -1,6 +1,8 @@
+import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from opsloom.functions import pii, scalar, text as tx
@@ -289,3 +291,45 @@ def test_score_catalog_deals_questions_out_once(spark):
     # Hits are never shuffled: only the questions are dealt out.
     plan = rt.score_catalog(questions, tables)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_bm25_top_k_meets_in_tiles(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 400}"
+    docs = [(n, " ".join(word() for _ in range(rng.randrange(0, 40)))) for n in range(150)]
+    docs += [(n + 200, t) for n, t in docs[:40]] + [(3, "w1 w2 w2 and more"), (None, "w1 w3"), (500, None)]
+    asked = [((n % 17, "x"), " ".join(word() for _ in range(12))) for n in range(20)] + [((99, None), "unheard of"), ((98, "y"), None)]
+    d = spark.createDataFrame(docs, "doc int, body string")
+    q = spark.createDataFrame(asked, "query_id struct<a:int,b:string>, q string")
+    scores = rt.bm25_scores(d, q, "doc", "body", "q")
+    want = rt.top_per_query(scores, 4, F.desc(F.round("score", 9)), "doc")
+    found = rt.bm25_top_k(d, q, "doc", "body", "q", 4)
+    plain = lambda df: sorted((tuple(r.query_id), r.rank, r.doc, round(r.score, 8)) for r in df.collect())
+    assert plain(found) == plain(want) and found.schema["doc"].dataType == d.schema["doc"].dataType
+    # No row is made for a pair of a query and a document.
+    assert "CoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+    # Any share of the words may go by matrices, and any number of queries at a time.
+    table = lambda n, name: pa.table({
+        name: list(range(n)), "t": [sorted(rng.sample(range(60), rng.randrange(0, 9))) for _ in range(n)],
+    })
+    weighed = lambda t: t.append_column("x", pa.array([[rng.choice([0.5, 1.0, -0.25]) for _ in w] for w in t["t"].to_pylist()], pa.list_(pa.float64())))
+    left, right = weighed(table(30, "query_id")), weighed(table(50, "example_id"))
+    by_hand = set()
+    for a in left.to_pylist():
+        own = dict(zip(a["t"], a["x"], strict=True))
+        sums = [(-sum(own.get(w, 0) * x for w, x in zip(b["t"], b["x"], strict=True)), b["example_id"]) for b in right.to_pylist()]
+        by_hand |= {(a["query_id"], doc, -score) for score, doc in sorted(x for x in sums if x[0] < 0)[:3]}
+    for wide, cells in ((1024, 16_000_000), (0, 16_000_000), (5, 400)):
+        monkeypatch.setattr(rt, "TILE_WIDE", wide)
+        monkeypatch.setattr(rt, "TILE_CELLS", cells)
+        assert {tuple(r.values()) for r in rt._tile_sums(left, right, 3).to_pylist()} == by_hand
+    assert rt._tile_sums(left, right.slice(0, 0), 3).num_rows == 0
+
+
+def test_hashed_features_do_not_travel(spark):
+    texts = spark.createDataFrame([(1, "a red ring"), (1, "red"), (2, ""), (None, "ring ring")], "k int, t string")
+    plan = rt.hash_embed_entries(texts, "k", "t")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    norms = {r.k: r.n for r in rt.hash_embed_entries(texts, "k", "t").groupBy("k").agg(F.round(F.sum(F.col("value") ** 2), 9).alias("n")).collect()}
+    assert norms == {1: 1.0, None: 1.0}
