@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from opsloom.functions.text import normalize_entity_name
 from opsloom.operators import evaluate as ev
 from opsloom.operators import govern as gv
 from opsloom.operators import graph as gr
@@ -233,3 +234,29 @@ def test_policies_come_to_the_spans(spark):
         assert [m.count() for m in made] == [4, 4, 4]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_names_are_normalised_once_where_their_chunk_lies(spark):
+    names = [
+        "  Straße-7,  (Nord) ", "large ring", "Brand#7", "a  b", "tab\tname", "line\n", "x y", " x", "-", "_", "#", "", " ", "É a", None,
+        "A-b_C 9", "(  a", "a  )", "one two ", "zero​width", "x\n",
+    ]
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    by_steps = strip(F.regexp_replace(F.regexp_replace(F.lower(strip(F.col("n"))), r"(?U)[^\w\s-]", ""), r"\s+", " "))
+    made = spark.createDataFrame([(n,) for n in names], "n string").select("n", normalize_entity_name(F.col("n")).alias("got"), by_steps.alias("want"))
+    assert [r for r in made.collect() if r.got != r.want] == []
+
+    kind = "source string, type string, target string, chunk_id int, seq bigint, description string"
+    mentions = spark.createDataFrame(
+        [("A", "is a", "B#", 1, 5, ""), ("a", "is a", "b", 1, 3, ""), ("A ", "is a", "b", 2, 7, ""), ("#", "is a", "b", 1, 1, ""), ("a", "is a", "A", 1, 2, ""), ("a", "is a", "b", 3, None, "")],
+        kind,
+    )
+    edges, provenance = gr.resolve_relations(mentions)
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert exchanges(provenance) == 1
+    assert [(r.src, r.tgt, r.type, r.weight) for r in edges.collect()] == [("a", "b", "IS_A", 4.0)]
+    assert sorted((r.chunk_id, r.pos) for r in provenance.collect()) == [(1, 3), (2, 7)]
+    nodes, places = gr.resolve_entities(mentions.select(F.col("target").alias("name"), "type", "description", "chunk_id", "seq"))
+    assert exchanges(places) == 1
+    assert sorted((r.key, r.seq) for r in nodes.collect()) == [("a", 2), ("b", 1)]
+    assert sorted((r.key, r.chunk_id, r.pos) for r in places.collect()) == [("a", 1, 2), ("b", 1, 1), ("b", 2, 7)]
