@@ -1,8 +1,10 @@
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from opsloom.llm.components import member_bitmap
 from opsloom.llm.components import stored as stored_in
-from opsloom.session import cut_lineage, stored
+from opsloom.session import cut_lineage, stored, stored_meanwhile
 
 
 def _shuffle_files(spark):
@@ -20,3 +22,10 @@ def test_stored_results_leave_no_shuffle_files(spark):
         if hasattr(found, "agg"):
             assert [found.agg(F.sum("n")).first()[0] for _ in range(2)] == [10_000, 10_000]
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_rows_stored_meanwhile_go_afterwards(spark):
+    with stored_meanwhile(spark.range(5)) as kept:
+        path = Path(kept.inputFiles()[0].removeprefix("file://")).parent
+        assert kept.count() == 5 and path.exists()
+    assert not path.exists()
